@@ -105,8 +105,11 @@ def fixed_decimals(c: str | Column, decimals: int) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (``trim`` removes spaces only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace (``trim`` removes spaces only)."""
+    return F.regexp_replace(col(c), WS_EDGES, "")
+
+
+WS_EDGES = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
 
 
 def routing_pattern() -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import tokens
+from .sizing import spread_by
 
 
 def hashed_embedding(df: DataFrame, dim: int = 64, id_col: str = "doc_id", text_col: str = "text",
@@ -28,7 +29,7 @@ def hashed_embedding(df: DataFrame, dim: int = 64, id_col: str = "doc_id", text_
     The frame is hash-partitioned on the id once; both aggregations reuse that
     partitioning, and each per-id list is bounded by ``dim``.
     """
-    base = df.select(id_col, text_col).repartition(id_col)
+    base = spread_by(df.select(id_col, text_col), id_col)
     h = F.conv(F.substring(F.md5(F.col("tok")), 1, 8), 16, 10).cast("long")
     toks = base.select(id_col, F.explode(tokens(text_col)).alias("tok"))
     cells = (toks.select(id_col, F.pmod(h, F.lit(dim)).alias("bucket"),

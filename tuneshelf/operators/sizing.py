@@ -15,3 +15,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only behind a checked bound; otherwise leave the join to the
     planner (sort-merge with AQE skew splitting)."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def cpu_partitions(df: DataFrame) -> int:
+    """Partition count for CPU-heavy per-row work (regex tokenising, hashing).
+
+    An explicit count keeps AQE from coalescing a small-in-bytes but CPU-heavy
+    shuffle into one task; it follows the session's ``spark.sql.shuffle.partitions``
+    (sized per cluster and data scale), never below the default parallelism.
+    """
+    spark = df.sparkSession
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        n = 0
+    return max(n, spark.sparkContext.defaultParallelism)
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition on ``key`` into ``cpu_partitions`` partitions."""
+    return df.repartition(cpu_partitions(df), key)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import with_terms
 from ..options import DEFAULT, Settings
+from .sizing import spread_by
 
 
 @dataclass
@@ -40,7 +41,7 @@ def term_counts(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 keep: list[str] | None = None) -> DataFrame:
     """(id, term, tf [, keep...]) with the corpus hash-partitioned on ``id_col``."""
     keep = keep or []
-    d = corpus.select(id_col, text_col, *keep).repartition(id_col)
+    d = spread_by(corpus.select(id_col, text_col, *keep), id_col)
     d = with_terms(d, text_col, "terms")
     return (d.select(id_col, *keep, F.explode("terms").alias("term"))
             .groupBy(id_col, "term", *keep).agg(F.count(F.lit(1)).alias("tf")))

@@ -22,6 +22,7 @@ from ..operators import profiles as P
 from ..operators import retrieve as RT
 from ..operators import semantic as SM
 from ..operators import textindex as T
+from ..operators.sizing import broadcast_if_small
 from ..options import DEFAULT
 from ..session import scratch_path
 from ..sources import csvscan as C
@@ -168,12 +169,12 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of every embedding to its label centroid (a grouped mean vector)."""
     e = S.table(spark, sf, "embeddings")
     cells = e.select("label", F.posexplode("embedding").alias("i", "x"))
-    cent = (cells.groupBy("label", "i").agg(F.sum(F.col("x").cast("decimal(20,10)")).alias("s"),
+    cent = (cells.groupBy("label", "i").agg(F.sum(F.col("x").cast("double").cast("decimal(20,10)")).alias("s"),
                                             F.count(F.lit(1)).alias("n"))
             .select("label", "i", (F.col("s").cast("double") / F.col("n")).alias("x"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
             .select("label", F.transform("c", lambda s: s["x"]).alias("centroid")))
-    j = e.join(F.broadcast(cent), "label")   # one row per label: bounded by the label count
+    j = e.join(broadcast_if_small(cent, DEFAULT.broadcast_max_rows), "label")  # one row per label
     return j.select("vec_id", "label", R.round_half_up(cosine("embedding", "centroid"), 10).alias("cosine"))
 
 
@@ -249,13 +250,14 @@ def validate_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _catalogue_hits(spark: SparkSession, sf: str):
     hits = RT.tfidf_topk(J.catalogue_index(spark, sf), S.conversation_questions(spark, sf), K)
+    hits = hits.withColumn("score", R.round_half_up("score", 4))
     return RT.lookup_hits(hits, J.all_docs(spark, sf))
 
 
 def lookup_hits(spark: SparkSession, sf: str) -> DataFrame:
     h = _catalogue_hits(spark, sf)
     return h.select("question_id", "rank", "doc_id", "track_name", "track_artist", "playlist_genre",
-                    "energy", _score4())
+                    "energy", "score")
 
 
 def build_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,11 +292,11 @@ def retrieval_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return G.hit_listing(_catalogue_hits(spark, sf).withColumn("score", R.round_half_up("score", 4)))
+    return G.hit_listing(_catalogue_hits(spark, sf))
 
 
 def display_features(spark: SparkSession, sf: str) -> DataFrame:
-    return G.display_features(_catalogue_hits(spark, sf).withColumn("score", R.round_half_up("score", 4)))
+    return G.display_features(_catalogue_hits(spark, sf))
 
 
 def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
