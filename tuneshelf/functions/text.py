@@ -15,9 +15,13 @@ def tokens(text: str | Column) -> Column:
 
 
 def drop_stop_words(toks: Column, stop_words: list[str] | None = None) -> Column:
-    """Keep order and repeats; ``array_except`` would de-duplicate."""
-    stop = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else fixed.STOP_WORDS)])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    """Keep order and repeats (``array_except`` would de-duplicate).
+
+    ``isin`` over many literals becomes a hash-set lookup (InSet); a linear
+    ``array_contains`` over the 318-word list measured ~5x slower.
+    """
+    words = stop_words if stop_words is not None else fixed.STOP_WORDS
+    return F.filter(toks, lambda t: ~t.isin(*words))
 
 
 # every position that starts a token (start of text or after a space) captures the

@@ -31,7 +31,8 @@ def hashed_embedding(df: DataFrame, dim: int = 64, id_col: str = "doc_id", text_
     """
     base = spread_by(df.select(id_col, text_col), id_col)
     h = F.conv(F.substring(F.md5(F.col("tok")), 1, 8), 16, 10).cast("long")
-    toks = base.select(id_col, F.explode(tokens(text_col)).alias("tok"))
+    toks = (base.select(id_col, F.explode_outer(tokens(text_col)).alias("tok"))
+            .filter(F.col("tok").isNotNull()))  # outer: no tokeniser filter pushed into the scan
     cells = (toks.select(id_col, F.pmod(h, F.lit(dim)).alias("bucket"),
                          F.when(F.pmod(F.floor(h / dim), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"))
              .groupBy(id_col, "bucket").agg(F.sum("sign").alias("v")))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import with_terms
 from ..options import DEFAULT, Settings
+from ..session import cut_lineage
 from .sizing import spread_by
 
 
@@ -43,7 +44,11 @@ def term_counts(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keep = keep or []
     d = spread_by(corpus.select(id_col, text_col, *keep), id_col)
     d = with_terms(d, text_col, "terms")
-    return (d.select(id_col, *keep, F.explode("terms").alias("term"))
+    # explode_outer + null filter: an inner explode makes the optimizer infer
+    # size(terms) > 0 and push that (the whole tokeniser) below the repartition
+    # into the scan, running it twice
+    return (d.select(id_col, *keep, F.explode_outer("terms").alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy(id_col, "term", *keep).agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -71,6 +76,10 @@ def build_text_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
                          pop.alias("popularity"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     counts = term_counts(docs, "doc_id", "text", keep=["popularity"])
+    if settings.checkpoint_counts:
+        # both the vocabulary and the postings read the counts: write them once to
+        # the shared checkpoint folder instead of tokenising the corpus twice
+        counts = cut_lineage(counts, "term-counts")
     vocab = vocabulary(counts, n_docs, settings.vocab_size)
     postings = unit_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight", "popularity")
     return TextIndex(vocab=vocab, postings=postings, docs=docs.select("doc_id", "popularity"), n_docs=n_docs)

@@ -23,6 +23,8 @@ class Settings:
     # dense top-k blocking: questions and documents per cogroup cell
     question_block: int = 4096
     document_block: int = 32768
+    # write per-document term counts once (read by vocabulary and postings)
+    checkpoint_counts: bool = True
 
 
 DEFAULT = Settings()

@@ -63,6 +63,8 @@ def write_songs_csv(songs: DataFrame, path: str) -> None:
 
 def read_songs_strict(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join([f"{c} string" for c in SONG_TEXT] + [f"{c} double" for c in SONG_FLOATS])
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("nullValue", "\u0000").option("emptyValue", "")
-            .csv(path))
+    df = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+          .option("nullValue", "\u0000").option("emptyValue", "")
+          .csv(path))
+    # a plain csv reader yields '' for an empty text field, never a missing value
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in SONG_TEXT], *SONG_FLOATS)
