@@ -56,7 +56,8 @@ def embed_with(df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]]
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
                 vecs = embed_fn(part[text_col].fillna("").tolist())
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), out_col: list(vecs)})
+                yield pd.DataFrame({id_col: pd.Series(part[id_col].to_numpy(), dtype=object),
+                                    out_col: pd.Series(list(vecs), dtype=object)})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, {out_col} array<double>")
 

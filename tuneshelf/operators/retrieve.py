@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..options import DEFAULT, Settings
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_bounded, term_rows_bound
 from .textindex import TextIndex, question_vectors
 
 
@@ -62,7 +62,8 @@ def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Setting
                id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """(question_id, rank, doc_id, cosine, popularity, score) for the top-k per question."""
     qvec = question_vectors(questions, index.vocab, id_col, text_col)
-    qvec = broadcast_if_small(qvec, settings.broadcast_max_rows)
+    # bound the question vectors from text lengths instead of running them twice
+    qvec = broadcast_if_bounded(qvec, term_rows_bound(questions, text_col), settings.broadcast_max_rows)
     matched = (index.postings.join(qvec, "term")
                .groupBy(id_col, "doc_id")
                .agg(F.sum(F.col("qweight") * F.col("weight")).alias("cosine"),
@@ -88,11 +89,14 @@ def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Setting
     return top_n(best, id_col, k).select(id_col, "rank", "doc_id", "cosine", "popularity", "score")
 
 
-def lookup_hits(hits: DataFrame, docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def lookup_hits(hits: DataFrame, docs: DataFrame, settings: Settings = DEFAULT,
+                n_questions: int | None = None, k: int | None = None) -> DataFrame:
     """Inner join ranked ids to documents after ranking (misses drop out, so fewer
-    than k may return); only track documents are kept."""
+    than k may return); only track documents are kept.  Hits are at most
+    questions x k rows: broadcast when that bound is small, else a keyed join."""
     tracks = docs.filter(F.col("doc_type") == "track")
-    return broadcast_if_small(hits, settings.broadcast_max_rows).join(tracks, "doc_id", "inner")
+    bound = (n_questions * (k or settings.top_k)) if n_questions is not None else settings.broadcast_max_rows + 1
+    return broadcast_if_bounded(hits, bound, settings.broadcast_max_rows).join(tracks, "doc_id", "inner")
 
 
 def retrieval_stats(questions: DataFrame, hits: DataFrame, id_col: str = "question_id") -> DataFrame:

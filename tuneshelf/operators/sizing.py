@@ -17,6 +17,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
+def broadcast_if_bounded(df: DataFrame, bound_rows: int, max_rows: int) -> DataFrame:
+    """Broadcast when a proven upper bound on ``df``'s rows (computed from cheap
+    inputs, e.g. questions x k) is within ``max_rows``; ``df`` itself is not run."""
+    return F.broadcast(df) if bound_rows <= max_rows else df
+
+
+def term_rows_bound(texts: DataFrame, text_col: str) -> int:
+    """Upper bound on (id, term) rows a text column can produce.
+
+    Tokens are maximal runs of at least two characters, so a text of length L has
+    at most (L + 1) / 3 tokens and at most twice that many 1- and 2-gram terms.
+    Reads only string lengths (no tokenising).
+    """
+    total = texts.select(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 1).alias("n")).collect()[0]["n"]
+    return 0 if total is None else int(2 * (total + 2) // 3)
+
+
 def cpu_partitions(df: DataFrame) -> int:
     """Partition count for CPU-heavy per-row work (regex tokenising, hashing).
 

@@ -249,9 +249,10 @@ def validate_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _catalogue_hits(spark: SparkSession, sf: str):
-    hits = RT.tfidf_topk(J.catalogue_index(spark, sf), S.conversation_questions(spark, sf), K)
+    questions = S.conversation_questions(spark, sf)
+    hits = RT.tfidf_topk(J.catalogue_index(spark, sf), questions, K)
     hits = hits.withColumn("score", R.round_half_up("score", 4))
-    return RT.lookup_hits(hits, J.all_docs(spark, sf))
+    return RT.lookup_hits(hits, J.all_docs(spark, sf), n_questions=questions.count(), k=K)
 
 
 def lookup_hits(spark: SparkSession, sf: str) -> DataFrame:
