@@ -37,16 +37,13 @@ def term_rows_bound(texts: DataFrame, text_col: str) -> int:
 def cpu_partitions(df: DataFrame) -> int:
     """Partition count for CPU-heavy per-row work (regex tokenising, hashing).
 
-    An explicit count keeps AQE from coalescing a small-in-bytes but CPU-heavy
-    shuffle into one task; it follows the session's ``spark.sql.shuffle.partitions``
-    (sized per cluster and data scale), never below the default parallelism.
+    One partition per input split (file splits grow with the data), and at least
+    one per core (``defaultParallelism`` grows with the cluster).  The count is
+    explicit, so AQE does not coalesce this small-in-bytes but CPU-heavy stage
+    into a single task.  Reading the split count plans the input; it runs no job.
     """
     spark = df.sparkSession
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        n = 0
-    return max(n, spark.sparkContext.defaultParallelism)
+    return max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:

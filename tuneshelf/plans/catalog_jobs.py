@@ -1,7 +1,16 @@
-"""Shared plan fragments over the driver tables (each call builds a fresh lazy plan)."""
+"""Shared plan fragments over the driver tables.
+
+``Catalog`` is the per-job view of the catalogue: the deduplicated catalogue is
+written once (one row per item) under the shared checkpoint folder, and the
+documents, the text index and the embedded documents all derive from that table.
+Without it every branch of a plan re-scans and re-aggregates ``lineitem`` (the
+branches prune different columns, so the optimizer cannot reuse the exchange).
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +18,43 @@ from ..operators import documents as D
 from ..operators import embed as E
 from ..operators import textindex as T
 from ..options import DEFAULT, Settings
+from ..session import cut_lineage
 from ..sources import tables as S
 
 
+class Catalog:
+    """Catalogue-derived tables of one job; each is built at most once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT):
+        self.spark, self.sf_dir, self.settings = spark, sf_dir, settings
+
+    @cached_property
+    def unique(self) -> DataFrame:
+        return cut_lineage(D.dedup_tracks(S.catalogue(self.spark, self.sf_dir)), "catalogue")
+
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return D.track_documents(self.unique, self.settings)
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        return D.artist_rollup(self.unique)
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return D.all_documents(self.tracks, D.artist_documents(self.rollup))
+
+    @cached_property
+    def index(self) -> T.TextIndex:
+        corpus = T.catalogue_corpus(self.unique, self.settings.null_text)
+        return T.build_text_index(corpus, "doc_id", "text", "popularity", self.settings)
+
+    @cached_property
+    def embedded_docs(self) -> DataFrame:
+        vecs = E.hashed_embedding(self.docs, self.settings.embed_dim, "doc_id", "blurb")
+        return self.docs.join(vecs, "doc_id")
+
+
 def unique_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dedup_tracks(S.catalogue(spark, sf_dir))
 

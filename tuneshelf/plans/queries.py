@@ -52,7 +52,7 @@ def scan_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_songs_strict(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "songs-csv")
-    C.write_songs_csv(P.songs_from_catalog(J.unique_catalog(spark, sf)), path)
+    C.write_songs_csv(P.songs_from_catalog(J.Catalog(spark, sf).unique), path)
     return C.read_songs_strict(spark, path)
 
 
@@ -79,11 +79,11 @@ def threshold_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def track_blurb(spark: SparkSession, sf: str) -> DataFrame:
-    return J.track_docs(spark, sf).select("doc_id", "blurb")
+    return J.Catalog(spark, sf).tracks.select("doc_id", "blurb")
 
 
 def track_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return J.track_docs(spark, sf).select(
+    return J.Catalog(spark, sf).tracks.select(
         "doc_id", "doc_type", "track_name", "track_artist", "track_album_name", "playlist_genre",
         "playlist_subgenre", "track_popularity", "energy", "danceability", "valence", "tempo")
 
@@ -100,15 +100,15 @@ def dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def artist_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return D.artist_rollup(J.unique_catalog(spark, sf))
+    return J.Catalog(spark, sf).rollup
 
 
 def artist_blurb(spark: SparkSession, sf: str) -> DataFrame:
-    return D.artist_documents(D.artist_rollup(J.unique_catalog(spark, sf))).select("doc_id", "blurb")
+    return D.artist_documents(J.Catalog(spark, sf).rollup).select("doc_id", "blurb")
 
 
 def all_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return J.all_docs(spark, sf).select("doc_id", "doc_type", "blurb", "artist")
+    return J.Catalog(spark, sf).docs.select("doc_id", "doc_type", "blurb", "artist")
 
 
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ def tfidf_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = RT.tfidf_topk(J.catalogue_index(spark, sf), S.sample_questions(spark), K)
+    hits = RT.tfidf_topk(J.Catalog(spark, sf).index, S.sample_questions(spark), K)
     return hits.select("question_id", "rank", "doc_id", _score4())
 
 
@@ -188,7 +188,7 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
 # -------------------------------------------------------------- profiles ---
 
 def _profiles(spark: SparkSession, sf: str):
-    songs = P.songs_from_catalog(J.unique_catalog(spark, sf))
+    songs = P.songs_from_catalog(J.Catalog(spark, sf).unique)
     prof = P.taste_profiles(S.table(spark, sf, "customer"), S.table(spark, sf, "orders"),
                             S.table(spark, sf, "lineitem"), songs)
     return prof, songs
@@ -250,9 +250,10 @@ def validate_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _catalogue_hits(spark: SparkSession, sf: str):
     questions = S.conversation_questions(spark, sf)
-    hits = RT.tfidf_topk(J.catalogue_index(spark, sf), questions, K)
+    cat = J.Catalog(spark, sf)
+    hits = RT.tfidf_topk(cat.index, questions, K)
     hits = hits.withColumn("score", R.round_half_up("score", 4))
-    return RT.lookup_hits(hits, J.all_docs(spark, sf), n_questions=questions.count(), k=K)
+    return RT.lookup_hits(hits, cat.docs, n_questions=questions.count(), k=K)
 
 
 def lookup_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,8 +283,9 @@ def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grounding_check(spark: SparkSession, sf: str) -> DataFrame:
-    hits = RT.tfidf_topk(J.catalogue_index(spark, sf), S.conversation_questions(spark, sf), K)
-    return G.grounding_check(hits, J.all_docs(spark, sf))
+    cat = J.Catalog(spark, sf)
+    hits = RT.tfidf_topk(cat.index, S.conversation_questions(spark, sf), K)
+    return G.grounding_check(hits, cat.docs)
 
 
 def retrieval_stats(spark: SparkSession, sf: str) -> DataFrame:
