@@ -57,8 +57,10 @@ def scan_songs_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Build-if-absent twice (the second call must find the artefacts), then reopen."""
     root = scratch_path(spark, "index")
-    ST.ingest(spark, sf, root)
+    if not ST.ensure_built(spark, sf, root) or ST.ensure_built(spark, sf, root):
+        raise RuntimeError("build-if-absent did not build exactly once")
     idx = ST.open_index(spark, root)
     return idx.vocab.select("term", "df", "cf", R.round_half_up("idf", 10).alias("idf"))
 
