@@ -27,6 +27,7 @@ from ..functions import fixed
 from ..functions import rules as R
 from ..functions.template import render
 from .retrieve import top_n
+from .sizing import broadcast_if_small
 
 _SEP = "\u0001"
 
@@ -147,9 +148,15 @@ def representatives(songs: DataFrame, k: int) -> DataFrame:
     return keyed.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
-def profile_topk(profiles: DataFrame, songs: DataFrame, k: int) -> DataFrame:
-    """(profile_id, rank, song columns, score) with ties kept in catalogue order."""
-    reps = representatives(songs, k)
+def profile_topk(profiles: DataFrame, songs: DataFrame, k: int, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(profile_id, rank, song columns, score) with ties kept in catalogue order.
+
+    The representatives are at most k x (distinct (set, key, energy)) rows, so they
+    are broadcast behind a size check: the all-songs set has a single key, which a
+    keyed join would send to one task.  Past the bound the join stays keyed (AQE
+    splits the skewed partition).
+    """
+    reps = broadcast_if_small(representatives(songs, k), max_broadcast_rows)
     keyed = (profiles.select("*", F.explode(_set_keys(F.col("favorite_genre"), F.col("favorite_mood"))).alias("sk"))
              .select("*", F.col("sk.set").alias("set"), F.col("sk.key").alias("key")).drop("sk"))
     cands = keyed.join(reps, ["set", "key"]).drop("set", "key").withColumn("score", score())
