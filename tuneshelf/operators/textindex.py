@@ -81,6 +81,10 @@ def build_text_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
         # the shared checkpoint folder instead of tokenising the corpus twice
         counts = cut_lineage(counts, "term-counts")
     vocab = vocabulary(counts, n_docs, settings.vocab_size)
+    if settings.checkpoint_counts:
+        # <= vocab_size rows, read by the postings and by every question batch:
+        # write it once instead of re-aggregating all terms for each reader
+        vocab = cut_lineage(vocab, "vocabulary")
     postings = unit_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight", "popularity")
     return TextIndex(vocab=vocab, postings=postings, docs=docs.select("doc_id", "popularity"), n_docs=n_docs)
 
