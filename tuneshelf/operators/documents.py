@@ -139,7 +139,14 @@ def artist_documents(rollup: DataFrame) -> DataFrame:
 
 
 def all_documents(tracks: DataFrame, artists: DataFrame) -> DataFrame:
-    return tracks.unionByName(artists, allowMissingColumns=True)
+    """Track ++ artist documents with unique ids.
+
+    Ids are cut to 100 (track) / 80 (artist name) characters, so two rows can meet
+    on one id; the earliest track (then the smallest artist name) keeps it.
+    """
+    both = (tracks.unionByName(artists, allowMissingColumns=True)
+            .withColumn("__kind", (F.col("doc_type") == "artist").cast("int")))
+    return keep_first(both, ["doc_id"], ["__kind", "ordinal", "artist"]).drop("__kind")
 
 
 def build_documents(catalog: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

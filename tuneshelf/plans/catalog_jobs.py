@@ -42,7 +42,8 @@ class Catalog:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return D.all_documents(self.tracks, D.artist_documents(self.rollup))
+        # written once: lookups, catalogues and the embedder all read the documents
+        return cut_lineage(D.all_documents(self.tracks, D.artist_documents(self.rollup)), "documents")
 
     @cached_property
     def index(self) -> T.TextIndex:

@@ -211,13 +211,18 @@ DOCS = f"""{CAT},
 {TRACKS.strip()},
 {ROLLUP.strip()},
 {ARTISTS.strip()},
-docs AS (
+alldocs AS (
   SELECT doc_id, doc_type, blurb, track_name, track_artist, track_album_name, playlist_genre,
          playlist_subgenre, track_popularity, energy, danceability, valence, tempo, loudness,
-         acousticness, artist FROM tracks
+         acousticness, artist, ordinal FROM tracks
   UNION ALL
   SELECT doc_id, doc_type, blurb, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-         NULL, artist FROM artists)"""
+         NULL, artist, NULL FROM artists),
+docs AS (
+  SELECT * EXCLUDE (ordinal, rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY doc_type = 'artist', ordinal NULLS FIRST,
+                                 artist NULLS FIRST) AS rn
+    FROM alldocs) WHERE rn = 1)"""
 
 
 # ----------------------------------------------------------- text index ---
@@ -496,7 +501,8 @@ SELECT (SELECT COUNT(*) FROM cat) AS n_catalog_rows,
        (SELECT COUNT(*) FROM docs WHERE doc_type = 'artist') AS n_artist_docs,
        (SELECT COUNT(*) FROM docs) AS n_docs,
        (SELECT COUNT(*) FROM cvocab) AS n_vocab_terms,
-       (SELECT COUNT(*) FROM cpost) AS n_postings"""
+       (SELECT COUNT(*) FROM cpost) AS n_postings,
+       (SELECT COUNT(*) FROM alldocs) - (SELECT COUNT(*) FROM docs) AS n_dropped_ids"""
     toks = tokens("text")
     o["tokenize"] = f"""WITH {DOC_CORPUS.strip()},
 {tfidf('d', 'dcorpus').strip()}
