@@ -70,6 +70,8 @@ def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Setting
                     F.max("popularity").alias("popularity")))
     # global popularity top-k: the key of a document with cosine 0
     pop_key = hybrid_score(F.lit(0.0), F.col("popularity"), settings)
+    # k rows (TakeOrderedAndProject: per-partition top-k, then a k-way merge); the
+    # window that numbers them runs over those k rows only
     pop_top = (index.docs.withColumn("score", pop_key)
                .orderBy(rank_key("score").desc(), F.col("doc_id").asc()).limit(k)
                .withColumn("pos", F.row_number().over(
