@@ -5,6 +5,7 @@ import tempfile
 
 import pytest
 
+from tuneshelf.functions import fixed
 from tuneshelf.sources import csvscan as C
 
 
@@ -21,7 +22,7 @@ def test_catalog_csv(spark):
                  'a,dup,N/A,audio\n'
                  ',,nan,audio\n')
     df = C.read_catalog_csv(spark, path)
-    assert set(["track_id", "track_name", "energy", "spotify_type", "ordinal"]) <= set(df.columns)
+    assert set(["track_id", "track_name", "energy", fixed.RESERVED_COLUMN_RENAMED, "ordinal"]) <= set(df.columns)
     rows = df.orderBy("ordinal").collect()
     assert rows[0]["track_name"] == 'x, "quoted"\nline'
     assert rows[0]["energy"] == 0.704

@@ -163,3 +163,9 @@ EXPLAIN_MOOD = "mood match ({mood}, +1.0)"
 EXPLAIN_ENERGY = "energy similarity {sim} (song={song_energy}, target={target_energy})"
 PROFILE_DEFAULTS = {"genre": "", "mood": "", "energy": 0.5}
 STUB_ANSWER_LINE = "[{rank}] \"{track_name}\" by {track_artist} — closest match in the catalog."
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: reserved catalogue column and its new name
+# ---------------------------------------------------------------------------
+RESERVED_COLUMN = "type"
+RESERVED_COLUMN_RENAMED = "spotify_type"

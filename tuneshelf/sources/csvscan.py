@@ -1,7 +1,7 @@
 """CSV catalogue scans.
 
 ``read_catalog_csv``: header CSV, every column read as text, header names
-normalised (lower, strip, spaces to ``_``), ``type`` renamed ``spotify_type``,
+normalised (lower, strip, spaces to ``_``), the reserved column renamed (fixed values),
 the NA strings become null, numeric features parsed with ``try_cast``.
 
 ``read_songs_strict``: the scorer's song file; the five float columns must parse
@@ -33,8 +33,8 @@ def _csv(spark: SparkSession):
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = _csv(spark).csv(path)
     df = raw.toDF(*[normalise_header(c) for c in raw.columns])
-    if "type" in df.columns:
-        df = df.withColumnRenamed("type", "spotify_type")
+    if fixed.RESERVED_COLUMN in df.columns:
+        df = df.withColumnRenamed(fixed.RESERVED_COLUMN, fixed.RESERVED_COLUMN_RENAMED)
     na = F.array(*[F.lit(s) for s in fixed.NA_STRINGS])
     cleaned = [F.when(~F.array_contains(na, F.col(c)), F.col(c)).alias(c) for c in df.columns]
     df = df.select(*cleaned)
