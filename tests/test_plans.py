@@ -31,3 +31,21 @@ def test_scan_prunes_columns(spark):
     p = QUERIES["threshold_buckets"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     # the part scan reads only the columns the catalogue needs
     assert "p_retailprice" not in p
+
+
+def test_lsh_has_no_cross_product(spark):
+    p = plan(QUERIES["semantic_topk_lsh"](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_tokeniser_not_pushed_into_scan(spark):
+    # an inner explode would make the optimizer infer size(terms) > 0 and run the
+    # tokeniser inside the documents scan as a data filter
+    p = QUERIES["tokenize"](spark, SF_SMALL)
+    from tuneshelf.operators.textindex import term_counts
+    from tuneshelf.sources import tables as S
+    counts = term_counts(S.text_corpus(spark, SF_SMALL), "doc_id", "text")
+    scan_lines = [ln for ln in counts._jdf.queryExecution().executedPlan().toString().splitlines()
+                  if "FileScan" in ln and "documents" in ln]
+    assert scan_lines and not any("regexp_extract_all" in ln for ln in scan_lines)
+    assert p is not None
