@@ -49,3 +49,16 @@ def test_tokeniser_not_pushed_into_scan(spark):
                   if "FileScan" in ln and "documents" in ln]
     assert scan_lines and not any("regexp_extract_all" in ln for ln in scan_lines)
     assert p is not None
+
+
+def test_no_registered_query_plans_a_cross_product(spark):
+    """Sweep: no executed plan of any registered batch query pairs rows without a key."""
+    bad = {}
+    for name, fn in QUERIES.items():
+        if name == "stream_questions":       # a stream run; its per-batch plan is answer_questions
+            continue
+        p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        hits = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
