@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +34,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must name a shared file system; it is only read.
-    When it is unset (local tests) a private folder is created and set.
+    On a cluster this setting must name a shared file system; it is only read, and a
+    session without it is refused: executors would write to folders of their own.
+    When it is unset on a local master (tests, bench) a private folder is created,
+    set, and removed when the driver process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,11 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local_master(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tuneshelf-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and executor are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
