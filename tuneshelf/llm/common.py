@@ -64,3 +64,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = cut_lineage(labels.join(up, "component", "left")
                              .select("node", F.coalesce("parent", "component").alias("component")), "cc-labels")
     return labels
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, so that a task's Python worker holds few whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mix_schedule
+from . import decontam, mix_schedule, url_redirects, warc_zstd
 from .common import load
 
 
@@ -12,9 +12,28 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_zstd.write_archives(load(spark, sf_dir, "pages"))
+    return warc_zstd.read_archives(manifest).drop("url")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule.mix(load(spark, sf_dir, "documents")).taken
 
 
-LLM_QUERIES = {"op4_decontam": op4_decontam, "op9_mix": op9_mix}
-LLM_ORACLES = {"op4_decontam": decontam.ORACLE, "op9_mix": mix_schedule.ORACLE}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_redirects.judge(load(spark, sf_dir, "pages"))
+
+
+LLM_QUERIES = {
+    "op4_decontam": op4_decontam,
+    "op6_warc": op6_warc,
+    "op9_mix": op9_mix,
+    "op10_urls": op10_urls,
+}
+LLM_ORACLES = {
+    "op4_decontam": decontam.ORACLE,
+    "op6_warc": warc_zstd.ORACLE,
+    "op9_mix": mix_schedule.ORACLE,
+    "op10_urls": url_redirects.ORACLE,
+}
