@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mix_schedule, url_redirects, warc_zstd
+from . import decontam, fast_minhash, mix_schedule, url_redirects, warc_zstd
 from .common import load
 
 
@@ -17,6 +17,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.read_archives(manifest).drop("url")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_minhash.near_duplicates(load(spark, sf_dir, "documents"), k=4)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule.mix(load(spark, sf_dir, "documents")).taken
 
@@ -28,6 +32,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op4_decontam": op4_decontam,
     "op6_warc": op6_warc,
+    "op7_minhash": op7_minhash,
     "op9_mix": op9_mix,
     "op10_urls": op10_urls,
 }
