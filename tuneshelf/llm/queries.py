@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fast_minhash, mix_schedule, url_redirects, warc_zstd
+from . import decontam, fast_minhash, line_chunks, mix_schedule, url_redirects, warc_zstd
 from .common import load
 
 
@@ -12,6 +12,11 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs, drop_empty=False, report="n_removed")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc_zstd.write_archives(load(spark, sf_dir, "pages"))
     return warc_zstd.read_archives(manifest).drop("url")
@@ -31,6 +36,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op4_decontam": op4_decontam,
+    "op5_lines": op5_lines,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op9_mix": op9_mix,
@@ -38,6 +44,7 @@ LLM_QUERIES = {
 }
 LLM_ORACLES = {
     "op4_decontam": decontam.ORACLE,
+    "op5_lines": line_chunks.ORACLE,
     "op6_warc": warc_zstd.ORACLE,
     "op9_mix": mix_schedule.ORACLE,
     "op10_urls": url_redirects.ORACLE,
