@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fast_minhash, line_chunks, mix_schedule, url_redirects, warc_zstd
+from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, url_redirects, warc_zstd
 from .common import load
 
 
@@ -26,6 +26,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_minhash.near_duplicates(load(spark, sf_dir, "documents"), k=4)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule.mix(load(spark, sf_dir, "documents")).taken
 
@@ -39,6 +43,7 @@ LLM_QUERIES = {
     "op5_lines": op5_lines,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_mix": op9_mix,
     "op10_urls": op10_urls,
 }
