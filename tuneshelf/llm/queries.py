@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, url_redirects, warc_zstd
+from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, url_redirects, warc_zstd
 from .common import load
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_cooccur.sanitise(load(spark, sf_dir, "documents")).drop("row", "terms")
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -39,6 +43,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_pii": op1_pii,
     "op4_decontam": op4_decontam,
     "op5_lines": op5_lines,
     "op6_warc": op6_warc,
