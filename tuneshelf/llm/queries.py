@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, url_redirects, warc_zstd
+from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, style_tree, url_redirects, warc_zstd
 from .common import load
 
 
@@ -12,6 +12,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_cooccur.sanitise(load(spark, sf_dir, "documents")).drop("row", "terms")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(load(spark, sf_dir, "pages"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -44,6 +48,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_pii": op1_pii,
+    "op3_html": op3_html,
     "op4_decontam": op4_decontam,
     "op5_lines": op5_lines,
     "op6_warc": op6_warc,
