@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, style_tree, url_redirects, warc_zstd
+from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, posting_ann, style_tree, url_redirects, warc_zstd
 from .common import load
 
 
@@ -12,6 +13,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_cooccur.sanitise(load(spark, sf_dir, "documents")).drop("row", "terms")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(load(spark, sf_dir, "pages"))
 
@@ -48,6 +53,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_pii": op1_pii,
+    "op2_ann": op2_ann,
     "op3_html": op3_html,
     "op4_decontam": op4_decontam,
     "op5_lines": op5_lines,
