@@ -35,6 +35,15 @@ def maybe_broadcast(written: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(written) if written.count() <= max_rows else written
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, max_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, text_key = xxhash64 of the text) names;
+    a null id or text matches a null one.  All columns stay as they were."""
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct(), "gone-rows")
+    same = F.col(id_col).eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b))
+    return docs.join(maybe_broadcast(gone, max_rows), same, "left_anti")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by contraction: (node, component), component = smallest node.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ascii_lower, fresh
+from .common import ascii_lower, without_rows
 
 NGRAM = 10
 #: Everything below 0x80 but digits and small letters separates words.
@@ -85,18 +85,18 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
 def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_col: str = "item_id", item_text: str = "text", n: int = NGRAM,
               block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document row: doc_id, n_words, spans (sorted first word and end), items."""
+    """One row per document row: doc_id, text_key, n_words, spans (sorted first word and end), items."""
     windows = cut_lineage(benchmark_windows(bench, item_col, item_text, n), "bench-windows")
     total = windows.count()
     lengths = [r[0] for r in windows.select("len").distinct().orderBy("len").collect()] or [n]  # at most n values
     blocks = max(1, -(-total // block_windows))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-                       F.col(text_col).alias("text"))
+                       F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     if blocks > 1:  # several scans must agree on the row numbers
         base = cut_lineage(base, "decontam-rows")
-    base = base.select("row", "doc_id", words_of(F.col("text")).alias("words"))
+    base = base.select("row", "doc_id", "text_key", words_of(F.col("text")).alias("words"))
     base = window_hashes(base, "words", lengths)
-    base = base.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"),
+    base = base.select("row", "doc_id", "text_key", "words", F.size("words").cast("long").alias("n_words"),
                        F.concat(*[F.col(f"_h{k}") for k in lengths]).alias("hashes"))
     # the place of a hash in the joined array less this offset is the window's first word
     offset, offsets = F.lit(0), F.lit(0)
@@ -106,16 +106,16 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     found = []
     for b in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod("h", F.lit(blocks)) == b)
-        probed = base.select("row", "doc_id", "n_words", "words", F.posexplode_outer("hashes").alias("j", "h"))
+        probed = base.select("row", "doc_id", "text_key", "n_words", "words", F.posexplode_outer("hashes").alias("j", "h"))
         probed = probed.join(F.broadcast(part), "h", "left").withColumn("first", F.col("j") - offsets)
         real = F.col("len").isNotNull() & (F.slice(F.col("words"), F.greatest(F.col("first") + 1, F.lit(1)), F.coalesce("len", F.lit(0))) == F.col("w_words"))
         carrier = F.lit(b == 0) & (F.col("j").isNull() | (F.col("j") == 0))  # one row of every document goes on
         probed = probed.withColumn("real", F.coalesce(real, F.lit(False))).where(F.col("real") | carrier)
-        found.append(probed.select("row", "doc_id", "n_words",
+        found.append(probed.select("row", "doc_id", "text_key", "n_words",
                                    F.when(F.col("real"), F.struct("first", (F.col("first") + F.col("len")).alias("end"))).alias("span"),
                                    F.when(F.col("real"), F.col("items")).alias("items")))
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"),
                                     F.sort_array(F.collect_set("span")).alias("spans"),
                                     F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
@@ -129,39 +129,28 @@ def covered(spans: str = "spans") -> Column:
 
 
 def contamination(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, and text_key (names the row)."""
     hits = find_hits(docs, bench, **kw)
     n_hit = covered()
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
-
-
-def remove_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents without any benchmark window, all columns as they were.  Ids that a
-    contaminated row bears go with all their rows; rows with a null id are judged by a
-    second look at their own text (they cannot be joined)."""
-    bad = fresh(docs, "bad_id")
-    hit = contamination(docs.where(F.col(id_col).isNotNull()), bench, id_col=id_col, **kw).where("contaminated")
-    hit = cut_lineage(hit.select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
-    clean = docs.where(F.col(id_col).isNotNull()).join(hit, F.col(id_col) == F.col(bad), "left_anti")
-    nameless = docs.where(F.col(id_col).isNull())
-    text = kw.get("text_col", "text")
-    digest = fresh(docs, "text_key")
-    nameless = nameless.withColumn(digest, F.coalesce(F.sha2(F.col(text), 256), F.lit("")))
-    judged = contamination(nameless.select(F.col(digest).alias("doc_id"), F.col(text).alias("text")), bench)
-    judged = judged.where("contaminated").select(F.col("doc_id").alias(bad)).distinct()
-    nameless = nameless.join(judged, F.col(digest) == F.col(bad), "left_anti").drop(digest)
-    return clean.unionByName(nameless)
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", "text_key")
+
+
+def remove_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents without any benchmark window, all columns as they were."""
+    hit = contamination(docs, bench, id_col=id_col, text_col=text_col, **kw).where("contaminated")
+    return without_rows(docs, hit, id_col, text_col)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """doc_id and the text without the words inside benchmark windows, words joined by a
-    space (clean texts stay as they are).  Documents are joined by id, which must be unique."""
+    space (clean texts stay as they are)."""
     hit = contamination(docs, bench, id_col=id_col, text_col=text_col, **kw).where("contaminated")
-    hit = cut_lineage(hit.select(F.col("doc_id").alias("hit_id"), "spans"), "contaminated")
+    hit = cut_lineage(hit.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans").distinct(), "contaminated")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key"))
     kept = F.filter(words_of(F.col("text")), lambda w, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i < s["end"])))
-    return base.join(hit, F.col("doc_id") == F.col("hit_id"), "left").select(
+    return base.join(hit, same, "left").select(
         "doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import small_batches
+from .common import small_batches, without_rows
 from .shingles import STEP, groups, mix64
 
 ORDER, BASE = 6, 3  # bytes; the classes' orders are BASE + 1 to ORDER
@@ -249,7 +249,8 @@ def _feature_task(shared_model):
                     e = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
                     top = np.sort(np.partition(e, -3)[-3:] if len(e) > 3 else e)
                     out[i] = top[-1], top.sum() / 3, e.sum() / (sum(map(len, words)) + len(words)), np.log1p(len(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start: part.stop], *(pa.array(c) for c in out.T)], ["doc_id", *FEATURES])
+                own = [batch.column(c)[part.start: part.stop] for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in out.T)], ["doc_id", "text_key", *FEATURES])
     return run
 
 
@@ -257,8 +258,8 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    return docs.select("doc_id", "text").mapInArrow(
-        _feature_task(shared), f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        _feature_task(shared), f"doc_id {kind}, text_key long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -278,7 +279,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", threshold: float = THRESHOLD, max_labels: int = MAX_LABELS) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per document row."""
+    """doc_id, held_out, score, predicted and text_key (names the row): one row per document row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = label_sample(labels, label_col=label_col, max_labels=max_labels)
     model = fit_counts(docs, sample)
@@ -294,5 +295,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for name, weight in zip(FEATURES, w, strict=True):
             z = z + F.col(name) * float(weight)
         value = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.cast("double").alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int"))
+    found = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.cast("double").alias("score"), "text_key")
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The documents that are not predicted toxic, all columns as they were."""
+    found = score(docs, labels, id_col=id_col, text_col=text_col, **kw)
+    return without_rows(docs, found.where("predicted = 1"), id_col, text_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
+    return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans", "text_key")
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn_toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return kn_toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,7 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix": op9_mix,
     "op10_urls": op10_urls,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
     "op4_decontam": decontam.ORACLE,
