@@ -245,7 +245,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     out = found.drop("near").join(terms, F.col("row") == F.col("t_row"), "left")
     listed = F.transform("terms", lambda t: F.concat_ws(":", F.when(t["general"].isNull(), "remove").otherwise("generalise"), t["a"], t["b"]))
     # further kinds stand after the base ones, in alphabetical order
-    more = F.concat(*[F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x, k=k: x.startswith(k)) for k in ("generalise", "remove")])
+    listed = F.coalesce(listed, F.array().cast("array<string>"))
+    more = F.concat(F.filter(listed, lambda x: x.startswith("generalise")), F.filter(listed, lambda x: x.startswith("remove")))
     spans = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), more), ",")
     return out.select("row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), "terms")
 
