@@ -121,7 +121,7 @@ def _write_task(folder: str, dictionary: bytes, archive_bytes: int):
             for i in range(batch.num_rows):
                 if out is None:
                     name, seen, size = f"{attempt}-{len(done):05d}.warc.zst", 0, 0
-                    out = filesystem.open_output_stream(f"{root}/{name}")
+                    out = filesystem.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                     info = b"software: tuneshelf\r\nformat: WARC File Format 1.1\r\n"
                     out.write(packer.compress(_header("warcinfo", [("WARC-Record-ID", _record_id(attempt, str(len(done)))),
@@ -163,7 +163,7 @@ def iter_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     import zstandard as zstd
 
     filesystem, root = _open_fs(path)
-    with filesystem.open_input_stream(root) as f:
+    with filesystem.open_input_stream(root, compression=None) as f:
         magic, n = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path}: no dictionary frame")
