@@ -18,6 +18,19 @@ def test_safe_parses_text(spark):
     assert one(spark, R.safe("v"), "0.704") == 0.7
 
 
+def test_only_decimal_numbers_parse(spark):
+    for text in ("1.5d", "2f", "0x1p3", "1__0", "_1", "1e", "1,5", "--1"):
+        assert one(spark, R.safe("v"), text) is None, text
+    for text, value in (("1_000", 1000.0), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("\u3000 7 \u00a0", 7.0), ("+3", 3.0)):
+        assert one(spark, R.safe("v"), text) == value, text
+    assert one(spark, R.to_double("v"), "-Infinity") == float("-inf")
+
+
+def test_number_text_is_plain(spark):
+    for x in (12345678.0, 0.0005, 1e16, 5e-05, 1.5e-07, 123456789012.25, 0.001, 9999999.0, 100.0, -0.00025, 2.5e+20):
+        assert one(spark, R.number_text("v"), x, "v double") == repr(x)
+
+
 def test_round_half_up_and_negative_zero(spark):
     assert one(spark, R.round_half_up("v", 2), 2.675, "v double") == 2.68
     assert one(spark, R.round_half_up("v", 2), 0.125, "v double") == 0.13
@@ -49,6 +62,8 @@ def test_number_text(spark):
 def test_strip_all_whitespace(spark):
     assert one(spark, R.strip_ws("v"), "\t  hello world \n") == "hello world"
     assert one(spark, R.strip_ws("v"), "   ") == ""
+    assert one(spark, R.strip_ws("v"), "\u3000\u00a0\u2009") == ""
+    assert one(spark, R.strip_ws("v"), "\u2028a\u00a0b\x1f") == "a\u00a0b"
 
 
 def test_routing_is_substring_match(spark):

@@ -64,6 +64,7 @@ PROMPT_INSTRUCTION = (
 )
 NO_HITS_ANSWER = "I couldn't find any tracks in the catalog for that query."
 BAD_REFS_NOTE = "\n\n⚠️ Note: Response referenced catalog entries [{refs}] which are outside the retrieved set."
+RECORD_NUMBERS = ["track_popularity", "energy", "danceability", "valence", "tempo", "loudness"]
 NO_RESULTS_LINE = "No results found."
 EMPTY_QUESTION = "Question must not be empty."
 

@@ -24,10 +24,29 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+#: Decimal numbers as Python's ``float`` reads them; the engine's own cast also takes
+#: type suffixes (``1.5d``) and hexadecimal floats.
+NUMBER = (r"^[+-]?(?:(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?"
+          r"|(?i:inf|infinity|nan))$")
+
+
 def to_double(c: str | Column) -> Column:
     """Parse text or number to double; unparseable, missing and NaN become null."""
     c = col(c)
-    return nan_to_null(c.try_cast("double"))
+    text = strip_ws(c.cast("string"))
+    parsed = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    # typeof is a constant: only the branch for the column's type stays in the plan
+    return nan_to_null(F.when(F.typeof(c) == "string", parsed).otherwise(c.try_cast("double")))
+
+
+def strict_double(c: str | Column) -> Column:
+    """Parsed double of a text; anything that is no number (a missing or blank cell too) is
+    an error that names the text."""
+    c = col(c)
+    text = strip_ws(c)
+    parsed = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    wrong = F.raise_error(F.concat(F.lit("could not convert to a number: "), F.coalesce(c, F.lit("nothing"))))
+    return F.when(parsed.isNotNull(), parsed).otherwise(wrong.cast("double"))
 
 
 def round_half_up(c: str | Column, decimals: int) -> Column:
@@ -46,8 +65,18 @@ def safe(c: str | Column, decimals: int = 2) -> Column:
 
 
 def number_text(c: str | Column) -> Column:
-    """Shortest text of a double (``85.0``, ``0.46``); null stays null."""
-    return col(c).cast("string")
+    """Shortest text of a double (``85.0``, ``0.46``, ``12345678.0``, ``1e-05``); null stays
+    null.  The engine's own text has exponents from 1e7 up and below 1e-3."""
+    c = col(c)
+    text, size = c.cast("string"), F.abs(c)
+    plain = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    digits = F.replace(power, F.lit("-"), F.lit(""))
+    sign = F.when(power.startswith("-"), "-").otherwise("+")
+    science = F.concat(mantissa, F.lit("e"), sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
+    return (F.when(((size >= 1e7) & (size < 1e16)) | ((size < 1e-3) & (size >= 1e-4)), plain)
+            .when(text.contains("E"), science).otherwise(text))
 
 
 def safe_display(c: str | Column, decimals: int = 2) -> Column:
@@ -105,11 +134,11 @@ def fixed_decimals(c: str | Column, decimals: int) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(col(c), WS_EDGES, "")
+    """Remove leading and trailing white space of any script (``trim`` removes spaces only)."""
+    return F.regexp_replace(col(c), rf"^[{WHITE}]+|[{WHITE}]+\z", "")
 
 
-WS_EDGES = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
+WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def routing_pattern() -> str:

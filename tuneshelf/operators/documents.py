@@ -49,7 +49,7 @@ def _cut(df: DataFrame, name: str, n: int, null_text: str) -> Column:
 
 def track_doc_id(df: DataFrame, null_text: str = fixed.MISSING_CELL) -> Column:
     if "track_id" in df.columns:
-        return F.substring(R.cell_text("track_id", null_text), 1, 100)
+        return R.cell_text("track_id", null_text)
     return F.concat(F.lit(fixed.TRACK_DOC_PREFIX), F.col("ordinal").cast("string"))
 
 
@@ -131,7 +131,7 @@ def artist_documents(rollup: DataFrame) -> DataFrame:
                    valence=_stat_text("valence_avg"), mood=F.col("mood"),
                    tempo=_stat_text("tempo_avg"))
     return rollup.select(
-        F.concat(F.lit(fixed.ARTIST_DOC_PREFIX), F.substring("track_artist", 1, 80)).alias("doc_id"),
+        F.concat(F.lit(fixed.ARTIST_DOC_PREFIX), F.col("track_artist")).alias("doc_id"),
         F.lit("artist").alias("doc_type"),
         blurb.alias("blurb"),
         F.col("track_artist").alias("artist"),
@@ -141,8 +141,8 @@ def artist_documents(rollup: DataFrame) -> DataFrame:
 def all_documents(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     """Track ++ artist documents with unique ids.
 
-    Ids are cut to 100 (track) / 80 (artist name) characters, so two rows can meet
-    on one id; the earliest track (then the smallest artist name) keeps it.
+    Ids are whole (only displayed texts are cut), so tracks of different ids and artists
+    of different names never meet; a track whose id looks like an artist's keeps it.
     """
     both = (tracks.unionByName(artists, allowMissingColumns=True)
             .withColumn("__kind", (F.col("doc_type") == "artist").cast("int")))

@@ -94,11 +94,13 @@ def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Setting
 def lookup_hits(hits: DataFrame, docs: DataFrame, settings: Settings = DEFAULT,
                 n_questions: int | None = None, k: int | None = None) -> DataFrame:
     """Inner join ranked ids to documents after ranking (misses drop out, so fewer
-    than k may return); only track documents are kept.  Hits are at most
-    questions x k rows: broadcast when that bound is small, else a keyed join."""
+    than k may return); only track documents are kept, numbered from 1 without gaps.  Hits
+    are at most questions x k rows: broadcast when that bound is small, else a keyed join."""
     tracks = docs.filter(F.col("doc_type") == "track")
     bound = (n_questions * (k or settings.top_k)) if n_questions is not None else settings.broadcast_max_rows + 1
-    return broadcast_if_bounded(hits, bound, settings.broadcast_max_rows).join(tracks, "doc_id", "inner")
+    found = broadcast_if_bounded(hits, bound, settings.broadcast_max_rows).join(tracks, "doc_id", "inner")
+    # an answer cites 1..n: the numbers close up after a miss (at most k rows a question)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
 
 
 def retrieval_stats(questions: DataFrame, hits: DataFrame, id_col: str = "question_id") -> DataFrame:

@@ -37,13 +37,12 @@ def term_rows_bound(texts: DataFrame, text_col: str) -> int:
 def cpu_partitions(df: DataFrame) -> int:
     """Partition count for CPU-heavy per-row work (regex tokenising, hashing).
 
-    One partition per input split (file splits grow with the data), and at least
-    one per core (``defaultParallelism`` grows with the cluster).  The count is
-    explicit, so AQE does not coalesce this small-in-bytes but CPU-heavy stage
-    into a single task.  Reading the split count plans the input; it runs no job.
+    The session's shuffle partitions (set for the data's size), and at least one per core
+    (``defaultParallelism`` grows with the cluster).  The count is explicit, so AQE does
+    not coalesce this small-in-bytes but CPU-heavy stage into a single task.
     """
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:

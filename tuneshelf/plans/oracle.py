@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from ..functions import fixed
-from ..functions.rules import WS_EDGES
 
 K = fixed.TOP_K
 KB = fixed.BATCH_TOP_K
@@ -98,8 +97,12 @@ def tokens(t: str) -> str:
     return "regexp_extract_all(lower(" + t + "), '" + fixed.TOKEN_PATTERN + "', 0)"
 
 
+# white space as Unicode's property and the separators 1C to 1F have it
+_SPACE = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{WS_EDGES}', '', 'g')"
+    return f"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 
 
 # ------------------------------------------------------------ catalogue ---
@@ -112,7 +115,7 @@ li AS (
          SUM(CAST(l_quantity AS DECIMAL(18,6))) AS s_qty,
          MIN(l_shipdate) AS first_ship
   FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey),
-cat AS (
+cat0 AS (
   SELECT p.p_partkey AS ordinal,
          'p' || CAST(p.p_partkey AS VARCHAR) AS track_id,
          p.p_name AS track_name,
@@ -128,10 +131,17 @@ cat AS (
          CASE WHEN p.p_partkey % 19 <> 0 AND li.n_lines > 0
               THEN CAST(li.s_tax AS DOUBLE) / li.n_lines / {dbl(0.08)} END AS valence,
          CASE WHEN li.n_lines > 0 THEN CAST(li.s_qty AS DOUBLE) / li.n_lines * {dbl(4.0)} END AS tempo,
-         CAST(NULL AS DOUBLE) AS loudness, CAST(NULL AS DOUBLE) AS acousticness,
-         CAST(NULL AS DOUBLE) AS instrumentalness, CAST(NULL AS DOUBLE) AS liveness,
-         CAST(NULL AS DOUBLE) AS speechiness
-  FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey)"""
+         CASE WHEN p.p_partkey % 29 <> 0 THEN CAST(p.p_partkey % 120 AS DOUBLE) / {dbl(-8.0)} - {dbl(2.0)} END AS loudness,
+         CASE WHEN p.p_partkey % 31 <> 0 THEN CAST(p.p_partkey * 13 % 101 AS DOUBLE) / {dbl(100.0)} END AS acousticness,
+         CAST(p.p_partkey * 7 % 101 AS DOUBLE) / {dbl(100.0)} AS instrumentalness,
+         CAST(p.p_partkey * 5 % 101 AS DOUBLE) / {dbl(100.0)} AS liveness,
+         CASE WHEN p.p_partkey % 13 <> 0 THEN CAST(p.p_partkey * 3 % 101 AS DOUBLE) / {dbl(100.0)} END AS speechiness
+  FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey),
+catall AS (
+  SELECT * FROM cat0
+  UNION ALL SELECT * REPLACE (ordinal + 1000000000 AS ordinal, track_name || ' again' AS track_name) FROM cat0 WHERE ordinal % 37 = 4),
+cat AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ordinal) AS rn FROM catall) WHERE rn = 1)"""
 
 _BLURB = render(
     fixed.TRACK_BLURB,
@@ -144,7 +154,7 @@ _BLURB = render(
 
 TRACKS = f"""
 tracks AS (
-  SELECT substr({cell('track_id')}, 1, 100) AS doc_id, 'track' AS doc_type, {_BLURB} AS blurb,
+  SELECT {cell('track_id')} AS doc_id, 'track' AS doc_type, {_BLURB} AS blurb,
          substr({cell('track_name')}, 1, 100) AS track_name,
          substr({cell('track_artist')}, 1, 100) AS track_artist,
          substr({cell('track_album_name')}, 1, 100) AS track_album_name,
@@ -199,7 +209,7 @@ def _stat(c: str) -> str:
 
 ARTISTS = f"""
 artists AS (
-  SELECT {lit(fixed.ARTIST_DOC_PREFIX)} || substr(track_artist, 1, 80) AS doc_id, 'artist' AS doc_type,
+  SELECT {lit(fixed.ARTIST_DOC_PREFIX)} || track_artist AS doc_id, 'artist' AS doc_type,
          {render(fixed.ARTIST_BLURB, artist='track_artist', n_tracks='CAST(n_tracks AS VARCHAR)',
                  genres='genres', subgenres='subgenres', energy=_stat('energy_avg'),
                  danceability=_stat('danceability_avg'), valence=_stat('valence_avg'), mood='mood',
@@ -219,10 +229,11 @@ alldocs AS (
   SELECT doc_id, doc_type, blurb, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
          NULL, artist, NULL FROM artists),
 docs AS (
-  SELECT * EXCLUDE (ordinal, rn) FROM (
+  SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY doc_type = 'artist', ordinal NULLS FIRST,
                                  artist NULLS FIRST) AS rn
-    FROM alldocs) WHERE rn = 1)"""
+    FROM alldocs) WHERE rn = 1),
+served AS (SELECT * FROM docs WHERE COALESCE(ordinal % 31 <> 5, TRUE))"""
 
 
 # ----------------------------------------------------------- text index ---
@@ -278,7 +289,7 @@ def hybrid_topk(p: str, corpus: str, qtable: str, k: int, out: str) -> str:
 
 CAT_CORPUS = f"""
 ccorpus AS (
-  SELECT substr({cell('track_id')}, 1, 100) AS doc_id,
+  SELECT {cell('track_id')} AS doc_id,
          concat_ws(' ', {cell('track_name')}, {cell('track_artist')}, {cell('playlist_genre')}, {cell('playlist_subgenre')}) AS text,
          COALESCE({nn('track_popularity')}, {dbl(0.0)}) AS popularity
   FROM cat)"""
@@ -289,8 +300,15 @@ dcorpus AS (
          CAST(COALESCE(l.quality, 0) * 100 AS DOUBLE) AS popularity
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-SAMPLE_Q = "sampleq AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i + 1}, {lit(q)})" for i, q in enumerate(fixed.SAMPLE_QUESTIONS)) + ") AS t(doc_id, text))"
+CAT_Q = """
+catq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS doc_id,
+                CASE WHEN conv_id % 29 = 3 THEN chr(12288) || chr(160) || ' '
+                     ELSE concat_ws(' ', c.text, p.p_name, CASE WHEN conv_id % 3 = 0 THEN 'top' END) END AS text
+         FROM conversations c LEFT JOIN part p ON p.p_partkey = (c.conv_id * 7 + c.turn * 3) % (SELECT COUNT(*) FROM part)
+         WHERE role = 'user')"""
+
+SAMPLE_Q = CAT_Q.strip() + ",\nsampleq AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{i + 1}', {lit(q)})" for i, q in enumerate(fixed.SAMPLE_QUESTIONS)) + ") AS t(doc_id, text) UNION ALL SELECT doc_id, text FROM catq)"
 
 CONV_Q = """
 convq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS doc_id, text
@@ -366,8 +384,8 @@ def catalogue_hits(qtable: str, k: int = K) -> str:
 {CAT_CORPUS.strip()},
 {qtable.strip()},
 {hybrid_topk('c', 'ccorpus', qtable.strip().split(' ')[0], k, 'hits').strip()},
-hd AS (SELECT h.question_id, h.rank, h.doc_id, h.score, d.* EXCLUDE (doc_id)
-       FROM hits h JOIN docs d ON h.doc_id = d.doc_id WHERE d.doc_type = 'track')"""
+hd AS (SELECT h.question_id, row_number() OVER (PARTITION BY h.question_id ORDER BY h.rank) AS rank, h.doc_id, h.score, d.* EXCLUDE (doc_id)
+       FROM hits h JOIN served d ON h.doc_id = d.doc_id WHERE d.doc_type = 'track')"""
 
 
 _ENTRY = render(fixed.CATALOG_ENTRY, rank="CAST(rank AS VARCHAR)",
@@ -382,9 +400,12 @@ cats AS (SELECT question_id, COUNT(*) AS n_hits, string_agg({_ENTRY}, '\n\n' ORD
 
 
 def bad_refs(answer: str, n: str) -> str:
-    cited = (f"list_distinct(list_transform(regexp_extract_all({answer}, '\\[(\\d+)\\]', 1), "
-             f"lambda s: TRY_CAST(s AS DECIMAL(38,0))))")
-    return f"list_sort(list_filter({cited}, lambda x: x < 1 OR x > {n}))"
+    # digits without leading zeros; a number is outside 1..n when it is 0, too long or too large
+    cited = (f"list_distinct(list_transform(regexp_extract_all({answer}, '\\[([0-9]+)\\]', 1), "
+             f"lambda s: CASE WHEN ltrim(s, '0') = '' THEN '0' ELSE ltrim(s, '0') END))")
+    wrong = f"list_filter({cited}, lambda s: s = '0' OR length(s) > 18 OR TRY_CAST(s AS BIGINT) > {n})"
+    keyed = f"list_sort(list_transform({wrong}, lambda s: lpad(CAST(length(s) AS VARCHAR), 6, '0') || ':' || s))"
+    return f"list_transform({keyed}, lambda s: split_part(s, ':', 2))"
 
 
 def annotate(answer: str, bad: str) -> str:
@@ -419,19 +440,18 @@ def cos(a: str, b: str) -> str:
     return f"(CASE WHEN {den} > 0 THEN list_dot_product({a}, {b}) / {den} ELSE {dbl(0.0)} END)"
 
 
-def answers_sql() -> str:
+def answers_cte() -> str:
     return f"""WITH {DOCS},
 {CAT_CORPUS.strip()},
-vq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS doc_id,
-              {strip('text')} AS question
-       FROM conversations WHERE role = 'user'),
+{CAT_Q.strip()},
+vq AS (SELECT doc_id, {strip('text')} AS question FROM catq),
 valid AS (SELECT doc_id, question, question AS text,
                  CASE WHEN {_ROUTE} THEN 'tfidf' ELSE 'semantic' END AS retrieval_mode
           FROM vq WHERE length(question) > 0),
 tq AS (SELECT doc_id, text FROM valid WHERE retrieval_mode = 'tfidf'),
 sq AS (SELECT doc_id, question FROM valid WHERE retrieval_mode = 'semantic'),
 {hybrid_topk('c', 'ccorpus', 'tq', K, 'thits').strip()},
-{hashed('docs', 'doc_id', 'blurb', 'de').strip()},
+{hashed('served', 'doc_id', 'blurb', 'de').strip()},
 {hashed('sq', 'doc_id', 'question', 'qe').strip()},
 near AS (SELECT * FROM (
            SELECT q.id AS question_id, d.id AS doc_id, {cos('q.v', 'd.v')} AS score,
@@ -439,14 +459,18 @@ near AS (SELECT * FROM (
            FROM qe q CROSS JOIN de d) WHERE r <= {fixed.SEMANTIC_OVERFETCH * K}),
 shits AS (SELECT question_id, rank, doc_id, score FROM (
             SELECT n.*, row_number() OVER (PARTITION BY question_id ORDER BY {rank_key('score')} DESC, n.doc_id ASC) AS rank
-            FROM near n JOIN docs d ON n.doc_id = d.doc_id WHERE d.doc_type = 'track') WHERE rank <= {K}),
+            FROM near n JOIN served d ON n.doc_id = d.doc_id WHERE d.doc_type = 'track') WHERE rank <= {K}),
 hits AS (SELECT question_id, rank, doc_id, score FROM thits
          UNION ALL SELECT question_id, rank, doc_id, {r1('score', 4)} FROM shits),
-hd AS (SELECT h.question_id, h.rank, h.doc_id, h.score, d.track_name, d.track_artist
-       FROM hits h JOIN docs d ON h.doc_id = d.doc_id WHERE d.doc_type = 'track'),
+hd AS (SELECT h.question_id, row_number() OVER (PARTITION BY h.question_id ORDER BY h.rank) AS rank, h.score, d.*
+       FROM hits h JOIN served d ON h.doc_id = d.doc_id WHERE d.doc_type = 'track'),
 agg AS (SELECT question_id, COUNT(*) AS n_tracks, string_agg(doc_id, ',' ORDER BY rank) AS track_ids,
                string_agg({_STUB}, '\n' ORDER BY rank) AS raw
-        FROM hd GROUP BY question_id)
+        FROM hd GROUP BY question_id)"""
+
+
+def answers_sql() -> str:
+    return f"""{answers_cte()}
 SELECT v.doc_id AS question_id, v.retrieval_mode, CAST(COALESCE(a.n_tracks, 0) AS BIGINT) AS n_tracks,
        COALESCE(a.track_ids, '') AS track_ids,
        COALESCE({annotate('a.raw', bad_refs('a.raw', 'a.n_tracks'))}, {lit(fixed.NO_HITS_ANSWER)}) AS answer
@@ -463,7 +487,7 @@ def _build() -> dict[str, str]:
     o: dict[str, str] = {}
     cat_cols = ("ordinal, track_id, track_name, track_artist, track_album_name, track_album_release_date, "
                 "playlist_genre, playlist_subgenre, track_popularity, energy, danceability, valence, tempo")
-    o["scan_catalog"] = f"WITH {CAT} SELECT {cat_cols} FROM cat"
+    o["scan_catalog"] = f"WITH {CAT} SELECT {cat_cols} FROM catall"
     o["scan_songs_strict"] = f"""WITH {CAT}
 SELECT CAST(ordinal AS VARCHAR) AS id, track_name AS title, track_artist AS artist,
        COALESCE(playlist_genre, '') AS genre, {track_mood('valence')} AS mood, {meta('energy')} AS energy,
@@ -473,9 +497,9 @@ FROM cat"""
     vocab_out = f"SELECT term, df, cf, {r1('idf', 10)} AS idf FROM {{p}}vocab"
     o["index_roundtrip"] = f"WITH {CAT},\n{CAT_CORPUS.strip()},\n{tfidf('c', 'ccorpus').strip()}\n" + vocab_out.format(p="c")
     o["safe_numeric"] = (f"WITH {CAT} SELECT track_id, " + ", ".join(
-        f"{safe(c)} AS {c}" for c in ["track_popularity", "energy", "danceability", "valence", "tempo"]) + " FROM cat")
+        f"{safe(c)} AS {c}" for c in ["track_popularity", "energy", "danceability", "valence", "tempo"]) + " FROM catall")
     o["threshold_buckets"] = (f"WITH {CAT} SELECT track_id, {energy_bucket('energy')} AS energy_desc, "
-                              f"{track_mood('valence')} AS mood FROM cat")
+                              f"{track_mood('valence')} AS mood FROM catall")
     o["track_blurb"] = f"WITH {CAT},\n{TRACKS.strip()}\nSELECT doc_id, blurb FROM tracks"
     o["track_metadata"] = (f"WITH {CAT},\n{TRACKS.strip()}\nSELECT doc_id, doc_type, track_name, track_artist, "
                            "track_album_name, playlist_genre, playlist_subgenre, track_popularity, energy, "
@@ -495,8 +519,8 @@ WHERE rn = 1"""
     o["ingest_stats"] = f"""WITH {DOCS},
 {CAT_CORPUS.strip()},
 {tfidf('c', 'ccorpus').strip()}
-SELECT (SELECT COUNT(*) FROM cat) AS n_catalog_rows,
-       (SELECT COUNT(DISTINCT track_id) + MAX(CASE WHEN track_id IS NULL THEN 1 ELSE 0 END) FROM cat) AS n_unique_tracks,
+SELECT (SELECT COUNT(*) FROM catall) AS n_catalog_rows,
+       (SELECT COUNT(DISTINCT track_id) + MAX(CASE WHEN track_id IS NULL THEN 1 ELSE 0 END) FROM catall) AS n_unique_tracks,
        (SELECT COUNT(*) FROM docs WHERE doc_type = 'track') AS n_track_docs,
        (SELECT COUNT(*) FROM docs WHERE doc_type = 'artist') AS n_artist_docs,
        (SELECT COUNT(*) FROM docs) AS n_docs,
@@ -565,28 +589,29 @@ FROM pairs x JOIN prof p ON x.profile_id = p.profile_id JOIN songs s ON x.song_i
 {BUILTIN},
 {bq},
 {hybrid_topk('c', 'ccorpus', 'bq', KB, 'hits').strip()},
-hd AS (SELECT h.question_id, h.rank, h.score, d.track_name, d.track_artist, d.playlist_genre, d.energy
+hd AS (SELECT h.question_id, row_number() OVER (PARTITION BY h.question_id ORDER BY h.rank) AS rank, h.score, d.track_name, d.track_artist, d.playlist_genre, d.energy
        FROM hits h JOIN docs d ON h.doc_id = d.doc_id WHERE d.doc_type = 'track')
 SELECT b.profile_id, b.label, COALESCE(hd.rank, 0) AS rank, COALESCE({line}, {lit(fixed.NO_RESULTS_LINE)}) AS line
 FROM builtin b LEFT JOIN hd ON hd.question_id = b.profile_id"""
-    o["route_questions"] = f"""WITH q AS (
-  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, {strip('text')} AS question
-  FROM conversations WHERE role = 'user')
+    asked = f"WITH {CAT_Q.strip()},\nq AS (SELECT doc_id AS question_id, {strip('text')} AS question FROM catq)"
+    o["route_questions"] = f"""{asked}
 SELECT question_id, CASE WHEN {_ROUTE} THEN 'tfidf' ELSE 'semantic' END AS retrieval_mode
 FROM q WHERE length(question) > 0"""
-    o["validate_questions"] = f"""
-SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, {strip('text')} AS question,
-       COALESCE(length({strip('text')}), 0) > 0 AS is_valid
-FROM conversations"""
-    o["lookup_hits"] = (f"WITH {catalogue_hits(CONV_Q)}\n"
+    o["route_override"] = f"""{asked}
+SELECT question_id, CASE CAST(split_part(question_id, ':', 1) AS BIGINT) % 4 WHEN 0 THEN 'tfidf' WHEN 1 THEN 'semantic'
+                    ELSE CASE WHEN {_ROUTE} THEN 'tfidf' ELSE 'semantic' END END AS retrieval_mode
+FROM q WHERE length(question) > 0"""
+    o["validate_questions"] = f"{asked}\nSELECT question_id, question, COALESCE(length(question), 0) > 0 AS is_valid FROM q"
+    o["lookup_hits"] = (f"WITH {catalogue_hits(CAT_Q)}\n"
                         "SELECT question_id, rank, doc_id, track_name, track_artist, playlist_genre, energy, score FROM hd")
-    o["build_catalog"] = f"WITH {catalogue_hits(CONV_Q)},\n{CATALOGS.strip()}\nSELECT question_id, n_hits, catalog FROM cats"
+    o["build_catalog"] = f"WITH {catalogue_hits(CAT_Q)},\n{CATALOGS.strip()}\nSELECT question_id, n_hits, catalog FROM cats"
     prompt = ("'RETRIEVED TRACK CATALOG (' || CAST(c.n_hits AS VARCHAR) || ' tracks):' || '\n\n' || c.catalog || '\n\n' || "
               f"{lit(fixed.PROMPT_REQUEST)} || q.text || '\n\n' || {lit(fixed.PROMPT_INSTRUCTION)}")
-    o["build_prompt"] = (f"WITH {catalogue_hits(CONV_Q)},\n{CATALOGS.strip()}\n"
-                         f"SELECT q.doc_id AS question_id, {prompt} AS prompt FROM convq q JOIN cats c ON c.question_id = q.doc_id")
+    o["build_prompt"] = (f"WITH {catalogue_hits(CAT_Q)},\n{CATALOGS.strip()}\n"
+                         f"SELECT q.doc_id AS question_id, {prompt} AS prompt FROM catq q JOIN cats c ON c.question_id = q.doc_id")
     o["verify_citations"] = f"""WITH a AS (
-  SELECT conv_id, turn, text || ' [' || CAST(conv_id % 15 AS VARCHAR) || ']' AS answer
+  SELECT conv_id, turn, text || CASE WHEN conv_id % 5 = 2 THEN ' [' || repeat('987654321', 5) || '] [007]' ELSE '' END
+         || ' [' || CAST(conv_id % 15 AS VARCHAR) || ']' AS answer
   FROM conversations WHERE role = 'assistant'),
 b AS (SELECT conv_id, turn, answer, {bad_refs('answer', str(K))} AS bad FROM a)
 SELECT conv_id, turn, array_to_string(bad, ', ') AS bad_refs, CAST(len(bad) AS BIGINT) AS n_bad,
@@ -594,11 +619,11 @@ SELECT conv_id, turn, array_to_string(bad, ', ') AS bad_refs, CAST(len(bad) AS B
 FROM b"""
     o["grounding_check"] = f"""WITH {DOCS},
 {CAT_CORPUS.strip()},
-{CONV_Q.strip()},
-{hybrid_topk('c', 'ccorpus', 'convq', K, 'hits').strip()}
+{CAT_Q.strip()},
+{hybrid_topk('c', 'ccorpus', 'catq', K, 'hits').strip()}
 SELECT (SELECT COUNT(*) FROM hits) AS n_hits,
-       (SELECT COUNT(*) FROM hits WHERE doc_id IN (SELECT doc_id FROM docs)) AS n_grounded,
-       (SELECT COUNT(*) FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM docs)) AS n_missing"""
+       (SELECT COUNT(*) FROM hits WHERE doc_id IN (SELECT doc_id FROM served)) AS n_grounded,
+       (SELECT COUNT(*) FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM served)) AS n_missing"""
     o["retrieval_stats"] = f"""WITH {DOC_CORPUS.strip()},
 {CONV_Q.strip()},
 {hybrid_topk('d', 'dcorpus', 'convq', K, 'hits').strip()},
@@ -611,7 +636,7 @@ FROM convq q LEFT JOIN agg ON agg.question_id = q.doc_id"""
     listing = ("'  • ' || COALESCE(track_name, 'Unknown') || ' by ' || COALESCE(track_artist, 'Unknown') || "
                f"CASE WHEN {detail} <> '' THEN '  [' || {detail} || ']' ELSE '' END || "
                f"CASE WHEN score IS NOT NULL THEN '  ' || {fmt('score', 3)} ELSE '' END")
-    o["hit_listing"] = f"WITH {catalogue_hits(CONV_Q)}\nSELECT question_id, rank, {listing} AS line FROM hd WHERE rank <= 5"
+    o["hit_listing"] = f"WITH {catalogue_hits(CAT_Q)}\nSELECT question_id, rank, {listing} AS line FROM hd WHERE rank <= 5"
 
     def bar(c: str) -> str:
         pct = f"least({dbl(100.0)}, greatest({dbl(0.0)}, {c} * 100))"
@@ -621,7 +646,7 @@ FROM convq q LEFT JOIN agg ON agg.question_id = q.doc_id"""
         return (f"CASE WHEN {c} IS NULL THEN '' WHEN {c} = floor({c}) THEN CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR) || {lit(unit)} "
                 f"ELSE printf('%.1f', {r1(c, 1)}) || {lit(unit)} END")
 
-    o["display_features"] = f"""WITH {catalogue_hits(CONV_Q)}
+    o["display_features"] = f"""WITH {catalogue_hits(CAT_Q)}
 SELECT question_id, rank,
        CASE WHEN score IS NULL THEN '' ELSE printf('%.1f', {r1('score * 100', 1)}) || '% match' END AS score_label,
        {bar('energy')} AS energy_bar, {bar('danceability')} AS dance_bar, {bar('valence')} AS valence_bar,
@@ -629,6 +654,12 @@ SELECT question_id, rank,
        {chip('loudness', ' dB')} AS loudness_chip, {chip('track_popularity', '')} AS popularity_chip
 FROM hd"""
     o["answer_questions"] = answers_sql()
+    numbers = ", ".join(f"COALESCE({c}, {dbl(0.0)}) AS {c}" for c in fixed.RECORD_NUMBERS)
+    o["result_records"] = f"""{answers_cte()}
+SELECT question_id, rank, COALESCE(track_name, 'Unknown') AS track_name, COALESCE(track_artist, 'Unknown') AS track_artist,
+       COALESCE(playlist_genre, '') AS playlist_genre, COALESCE(playlist_subgenre, '') AS playlist_subgenre, {numbers},
+       score AS similarity_score
+FROM hd"""
     # the stream must give exactly the batch answers
     o["stream_questions"] = answers_sql()
     return {k: _q(v) for k, v in o.items()}

@@ -134,7 +134,10 @@ def tfidf_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = RT.tfidf_topk(J.Catalog(spark, sf).index, S.sample_questions(spark), K)
+    """The fixed sample questions, and the questions that name items."""
+    sample = S.sample_questions(spark).select(F.col("question_id").cast("string").alias("question_id"), "question")
+    questions = sample.unionByName(S.catalogue_questions(spark, sf))
+    hits = RT.tfidf_topk(J.Catalog(spark, sf).index, questions, K)
     return hits.select("question_id", "rank", "doc_id", _score4())
 
 
@@ -239,23 +242,28 @@ def batch_profiles(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------- routing and grounding ---
 
 def route_questions(spark: SparkSession, sf: str) -> DataFrame:
-    q = RT.validate_questions(S.conversation_questions(spark, sf)).filter("is_valid")
+    q = RT.validate_questions(S.catalogue_questions(spark, sf)).filter("is_valid")
     return RT.route(q).select("question_id", "retrieval_mode")
 
 
+def route_override(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's override wins over the router; without one (null) the router decides."""
+    q = RT.validate_questions(S.catalogue_questions(spark, sf)).filter("is_valid")
+    conv = F.substring_index("question_id", ":", 1).cast("long")
+    force = F.when(conv % 4 == 0, F.lit(True)).when(conv % 4 == 1, F.lit(False))
+    return RT.route(q, force).select("question_id", "retrieval_mode")
+
+
 def validate_questions(spark: SparkSession, sf: str) -> DataFrame:
-    conv = S.table(spark, sf, "conversations")
-    q = conv.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-                    .alias("question_id"), F.col("text").alias("question"))
-    return RT.validate_questions(q).select("question_id", "question", "is_valid")
+    return RT.validate_questions(S.catalogue_questions(spark, sf)).select("question_id", "question", "is_valid")
 
 
 def _catalogue_hits(spark: SparkSession, sf: str):
-    questions = S.conversation_questions(spark, sf)
+    questions = S.catalogue_questions(spark, sf)
     cat = J.Catalog(spark, sf)
     hits = RT.tfidf_topk(cat.index, questions, K)
     hits = hits.withColumn("score", R.round_half_up("score", 4))
-    return RT.lookup_hits(hits, cat.docs, n_questions=questions.count(), k=K)
+    return RT.lookup_hits(hits, cat.docs.filter(S.served()), n_questions=questions.count(), k=K)
 
 
 def lookup_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,13 +278,15 @@ def build_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
     cats = G.build_catalog(_catalogue_hits(spark, sf))
-    return G.build_prompt(S.conversation_questions(spark, sf), cats).select("question_id", "prompt")
+    return G.build_prompt(S.catalogue_questions(spark, sf), cats).select("question_id", "prompt")
 
 
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
-    """Assistant turns with an appended ``[conv_id mod 15]`` citation; 12 entries retrieved."""
+    """Assistant turns with an appended ``[conv_id mod 15]`` citation, some of them with one
+    of 45 digits as well; 12 entries retrieved."""
     conv = S.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    ans = conv.select("conv_id", "turn", F.concat(F.col("text"), F.lit(" ["),
+    long = F.when(F.col("conv_id") % 5 == 2, F.concat(F.lit(" ["), F.repeat(F.lit("987654321"), 5), F.lit("] [007]"))).otherwise("")
+    ans = conv.select("conv_id", "turn", F.concat(F.col("text"), long, F.lit(" ["),
                                                    (F.col("conv_id") % 15).cast("string"), F.lit("]"))
                       .alias("answer"))
     bad = G.bad_citations("answer", F.lit(K))
@@ -286,8 +296,8 @@ def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 def grounding_check(spark: SparkSession, sf: str) -> DataFrame:
     cat = J.Catalog(spark, sf)
-    hits = RT.tfidf_topk(cat.index, S.conversation_questions(spark, sf), K)
-    return G.grounding_check(hits, cat.docs)
+    hits = RT.tfidf_topk(cat.index, S.catalogue_questions(spark, sf), K)
+    return G.grounding_check(hits, cat.docs.filter(S.served()))
 
 
 def retrieval_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,10 +315,17 @@ def display_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
-    r = PL.answer_questions(spark, sf, S.conversation_questions(spark, sf))
+    r = PL.answer_questions(spark, sf, S.catalogue_questions(spark, sf))
     return r.select("question_id", "retrieval_mode", "n_tracks", "track_ids", "answer")
 
 
+def result_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of each answer's ``tracks``, one row for each."""
+    r = PL.answer_questions(spark, sf, S.catalogue_questions(spark, sf))
+    return r.select("question_id", F.posexplode("tracks").alias("pos", "t")).select(
+        "question_id", (F.col("pos") + 1).alias("rank"), "t.*")
+
+
 def stream_questions(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.questions import run_question_stream
     return run_question_stream(spark, sf).select("question_id", "retrieval_mode", "n_tracks",
@@ -350,6 +367,8 @@ QUERIES: dict[str, Query] = {
     "build_catalog": build_catalog,
     "build_prompt": build_prompt,
     "verify_citations": verify_citations,
+    "route_override": route_override,
+    "result_records": result_records,
     "grounding_check": grounding_check,
     "retrieval_stats": retrieval_stats,
     "hit_listing": hit_listing,

@@ -68,8 +68,16 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") / F.lit(50.0)).alias("danceability"),
         F.when(key % 19 != 0, _avg_from_decimal_sum("s_tax", "n_lines") / F.lit(0.08)).alias("valence"),
         (_avg_from_decimal_sum("s_qty", "n_lines") * 4).alias("tempo"),
+        F.when(key % 29 != 0, (key % 120) / F.lit(-8.0) - 2).alias("loudness"),
+        F.when(key % 31 != 0, (key * 13 % 101) / F.lit(100.0)).alias("acousticness"),
+        ((key * 7 % 101) / F.lit(100.0)).alias("instrumentalness"),
+        ((key * 5 % 101) / F.lit(100.0)).alias("liveness"),
+        F.when(key % 13 != 0, (key * 3 % 101) / F.lit(100.0)).alias("speechiness"),
     )
-    return ensure_columns(cat, {c: "double" for c in FEATURES})
+    # some items come twice; the later row must lose against the earlier one
+    again = cat.filter(F.col("ordinal") % 37 == 4).withColumns({
+        "ordinal": F.col("ordinal") + 1_000_000_000, "track_name": F.concat("track_name", F.lit(" again"))})
+    return ensure_columns(cat.unionByName(again), {c: "double" for c in FEATURES})
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +102,24 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("question_id"), F.col("text").alias("question")))
 
 
+def catalogue_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the name of an item, a third of them with a routing word, and a
+    few blank ones (white space that is not ASCII)."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = part.select(F.count(F.lit(1))).scalar()
+    conv = conv.withColumn("item", (F.col("conv_id") * 7 + F.col("turn") * 3) % n)
+    text = F.concat_ws(" ", "text", "p_name", F.when(F.col("conv_id") % 3 == 0, F.lit("top")))
+    return conv.join(part, F.col("item") == F.col("p_partkey"), "left").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
+        F.when(F.col("conv_id") % 29 == 3, F.lit("\u3000\u00a0 ")).otherwise(text).alias("question"))
+
+
+def served() -> "F.Column":
+    """Condition on the documents that lookups find: a few items have no document."""
+    return F.coalesce(F.col("ordinal") % 31 != 5, F.lit(True))
+
+
 def builtin_profiles(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, label, g, v, e) for i, (label, g, v, e) in enumerate(fixed.BUILTIN_PROFILES)]
     return spark.createDataFrame(rows, "profile_id long, label string, genre string, valence double, energy double")

@@ -10,7 +10,7 @@ a reason.  Offsets and commits live in the checkpoint under the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as RT
@@ -25,10 +25,13 @@ QUESTION_SCHEMA = "question_id string, question string"
 
 def answer_stream(spark: SparkSession, source_dir: str, index_root: str, out_dir: str,
                   checkpoint: str, settings: Settings = DEFAULT, files_per_batch: int = 1,
-                  available_now: bool = True):
-    """Start the stream; returns the StreamingQuery."""
+                  available_now: bool = True, docs_where: Column | None = None):
+    """Start the stream; returns the StreamingQuery.  ``docs_where`` limits the documents
+    that answers may use."""
     index = ST.open_index(spark, index_root)
     docs = ST.open_docs(spark, index_root)
+    if docs_where is not None:
+        docs = docs.filter(docs_where)
     stream = (spark.readStream.schema(QUESTION_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
 
@@ -50,10 +53,10 @@ def run_question_stream(spark: SparkSession, sf_dir: str, settings: Settings = D
     streamed in ``n_files`` micro-batches and the answers read back."""
     base = scratch_path(spark, "question-stream")
     ST.ingest(spark, sf_dir, f"{base}/index", settings)
-    questions = S.conversation_questions(spark, sf_dir)
+    questions = S.catalogue_questions(spark, sf_dir)
     (questions.repartition(n_files, "question_id")
      .write.mode("overwrite").parquet(f"{base}/incoming"))
     q = answer_stream(spark, f"{base}/incoming", f"{base}/index", f"{base}/out",
-                      f"{base}/checkpoint", settings)
+                      f"{base}/checkpoint", settings, docs_where=S.served())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out/answers").drop("batch_id")
