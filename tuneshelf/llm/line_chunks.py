@@ -28,32 +28,41 @@ from .common import fresh, maybe_broadcast
 #: A line with its closing marks and the blanks after them; all lines joined are the text.
 LINE = r"[^.!?\n]*[.!?\n]+ *|[^.!?\n]+"
 BOUNDARY = "c"  # a boundary where the rolling hash's first hex digit is below: 12 of 16
-MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
 BROADCAST_ROWS = 1_000_000  # document keys (16 bytes each), and chunk numbers to remove
+MARK, ESCAPE = "\x1e", "\x1f"  # two marks end a chunk while an array is split
+MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
+
+
+def _escaped(c: Column) -> Column:
+    """Free of two marks in a row: what is split there comes back as it was."""
+    return F.replace(c, F.lit(MARK), F.lit(MARK + ESCAPE))
 
 
 def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``lines`` (as they stand), ``trimmed``, and ``ends``: the number of lines up to each chunk's end."""
+    """Adds arrays with one entry per chunk: ``raw`` (all of them joined are the text, marks
+    escaped), ``chunk`` (its trimmed lines, joined by line breaks) and ``ends`` (the number of
+    lines up to its end).  Every step is one pass over an array; no lambda looks into
+    another array, which would be read again for each entry."""
     df = df.withColumn("lines", F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0)))
     df = df.withColumn("trimmed", F.transform("lines", lambda x: F.trim(x, F.lit(" \n"))))
     df = df.withColumn("line_hash", F.transform("trimmed", lambda x: F.md5(x)))
-    rolling = F.zip_with(F.concat(F.array(F.lit("")), F.slice("line_hash", F.lit(1), F.greatest(F.size("line_hash") - 1, F.lit(0)))),
-                         F.col("line_hash"), lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1))
-    df = df.withColumn("rolling", F.when(F.size("line_hash") > 0, rolling))
-    numbers = F.when(F.size("lines") > 0, F.sequence(F.lit(1), F.size("lines")))
-    ends = F.filter(numbers, lambda i: (F.get("rolling", i - 1) < BOUNDARY) | (i == F.size("lines")))
-    return df.withColumn("ends", ends).drop("line_hash", "rolling")
+    before = F.concat(F.array(F.lit("")), F.slice("line_hash", F.lit(1), F.greatest(F.size("line_hash") - 1, F.lit(0))))
+    df = df.withColumn("is_end", F.zip_with(before, "line_hash", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1) < BOUNDARY))
+    last = F.concat(F.slice("is_end", F.lit(1), F.greatest(F.size("is_end") - 1, F.lit(0))), F.array(F.lit(True)))
+    df = df.withColumn("is_end", F.when(F.size("is_end") > 0, last))
 
+    def split(lines: str, inner: str) -> Column:
+        marked = F.zip_with(F.col(lines), F.col("is_end"),
+                            lambda x, end: F.concat(_escaped(x), F.when(end, F.lit(MARK * 2)).otherwise(F.lit(inner))))
+        return F.split(F.array_join(marked, ""), MARK * 2)  # with an empty entry at the end
 
-def chunk_of(ends: str, k: Column) -> tuple[Column, Column]:
-    """First line (from 0) and number of lines of chunk k (from 0)."""
-    start = F.when(k > 0, F.get(ends, k - 1)).otherwise(0)
-    return start, F.get(ends, k) - start
+    ends = F.filter(F.transform("is_end", lambda end, i: F.when(end, i + 1)), lambda i: i.isNotNull())
+    df = df.withColumn("raw", split("lines", "")).withColumn("chunk", split("trimmed", "\n")).withColumn("ends", ends)
+    return df.drop("lines", "trimmed", "line_hash", "is_end")
 
 
-def chunk_text(k: Column) -> Column:
-    start, n = chunk_of("ends", k)
-    return F.array_join(F.slice("trimmed", start + 1, n), "\n")
+def lines_in(k: Column) -> Column:
+    return F.get("ends", k) - F.when(k > 0, F.get("ends", k - 1)).otherwise(0)
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -62,7 +71,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
     base = base.withColumn("text_key", F.xxhash64("text"))
     hashed = with_chunks(base)
-    hashes = F.transform("ends", lambda e, k: F.xxhash64(chunk_text(k)))
+    hashes = F.slice(F.transform("chunk", lambda c: F.xxhash64(c)), F.lit(1), F.size("ends"))
     hashed = cut_lineage(hashed.select("doc_id", "text_key", hashes.alias("hashes")), "chunk-hashes")
     rows = hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("k", "h"))
 
@@ -75,9 +84,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = per_doc.select("doc_id", "text_key")
     some = base.join(maybe_broadcast(keys, BROADCAST_ROWS), ["doc_id", "text_key"], "left_semi")
     some = with_chunks(some.join(per_doc, ["doc_id", "text_key"]))
-    some = some.select("doc_id", "text_key", "trimmed", "ends", F.explode("found").alias("f"))
+    some = some.select("doc_id", "text_key", "chunk", "ends", F.explode("found").alias("f"))
     texts = some.select("doc_id", "text_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.lo").alias("lo"),
-                        chunk_of("ends", F.col("f.k"))[1].alias("n"), chunk_text(F.col("f.k")).alias("chunk"))
+                        lines_in(F.col("f.k")).alias("n"), F.get("chunk", F.col("f.k")).alias("chunk"))
     texts = cut_lineage(texts, "chunk-texts")
     kept = texts.where("doc_id = lo").select("h", F.col("chunk").alias("kept")).distinct()
     kept = cut_lineage(kept, "chunk-kept")
@@ -96,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with repeated chunks cut out of their texts, all columns as they were.
     ``report`` names an extra column: the number of chunks removed."""
     gone = cut_lineage(repeated_chunks(docs, id_col, text_col, **kw), "chunk-gone")
-    names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "gone", "lines", "trimmed", "ends")}
+    names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "gone", "body")}
     total = gone.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
     gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("chunks").alias(names["gone"]))
     if total <= BROADCAST_ROWS:
@@ -106,16 +115,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hit = F.col(names["gone"]).isNotNull()
     cols = docs.columns
-    body = "__text"
-    while body in cols:
-        body += "_"
-    out = out.withColumn(body, F.when(hit, F.col(text_col)))
+    out = out.withColumn(names["body"], F.when(hit, F.col(text_col)))
     sub = with_chunks(out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["gone"]).alias("gone"),
-                                 F.col(body).alias("text")))
-    # the number of the chunk that each line is in: the boundaries at or before it
-    bad = F.flatten(F.transform("gone", lambda k: F.sequence(chunk_of("ends", k)[0], F.get("ends", k) - 1)))
-    sub = sub.withColumn("bad", F.when(F.col("gone").isNotNull(), bad))
-    sub = sub.withColumn("cut", F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("bad", i)), ""))
+                                 F.col(names["body"]).alias("text")))
+    kept = F.filter("raw", lambda c, k: ~F.array_contains("gone", k))
+    sub = sub.withColumn("cut", F.replace(F.array_join(kept, ""), F.lit(MARK + ESCAPE), F.lit(MARK)))
     at = cols.index(text_col)
     if drop_empty:
         sub = sub.where(F.col("gone").isNull() | (F.trim(F.col("cut"), F.lit(" \n")) != ""))
