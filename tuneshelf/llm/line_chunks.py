@@ -8,8 +8,8 @@ the document with the smallest id keeps its chunk, and every other occurrence is
 with it byte for byte.  Runs of adjacent repeated chunks go when they have at least
 ``MIN_LINES`` lines and ``MIN_CHARS`` characters, so that short stock lines stay.
 
-Only 64-bit hashes of all chunks are shuffled; texts of candidate chunks alone follow.  Tables
-of a checked size are broadcast to keep whole texts in place; beyond it they are joined.
+Of all chunks only 64-bit hashes are shuffled.  The texts move twice, joined by document: once
+for the bytes of the candidate chunks, once for the cut.
 
 Defined cases: a null or empty text has no lines and stays; rows with a null id take no part
 and stay; rows that repeat an id are one document, whose repeated lines stay; a text that
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
-from .common import fresh, maybe_broadcast
+from .common import fresh
 
 #: A line with its closing marks and the blanks after them; all lines joined are the text.
 LINE = r"[^.!?\n]*[.!?\n]+ *|[^.!?\n]+"
 BOUNDARY = "c"  # a boundary where the rolling hash's first hex digit is below: 12 of 16
-BROADCAST_ROWS = 1_000_000  # document keys (16 bytes each), and chunk numbers to remove
 MARK, ESCAPE = "\x1e", "\x1f"  # two marks end a chunk while an array is split
 MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
 
@@ -81,9 +80,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "h", "lo")).alias("found"))
     per_doc = cut_lineage(per_doc, "chunk-documents")
 
-    keys = per_doc.select("doc_id", "text_key")
-    some = base.join(maybe_broadcast(keys, BROADCAST_ROWS), ["doc_id", "text_key"], "left_semi")
-    some = with_chunks(some.join(per_doc, ["doc_id", "text_key"]))
+    some = with_chunks(base.join(per_doc, ["doc_id", "text_key"]))
     some = some.select("doc_id", "text_key", "chunk", "ends", F.explode("found").alias("f"))
     texts = some.select("doc_id", "text_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.lo").alias("lo"),
                         lines_in(F.col("f.k")).alias("n"), F.get("chunk", F.col("f.k")).alias("chunk"))
@@ -106,10 +103,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``report`` names an extra column: the number of chunks removed."""
     gone = cut_lineage(repeated_chunks(docs, id_col, text_col, **kw), "chunk-gone")
     names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "gone", "body")}
-    total = gone.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
     gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("chunks").alias(names["gone"]))
-    if total <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
     same = (F.col(id_col) == F.col(names["id"])) & (F.xxhash64(text_col) == F.col(names["key"]))
     out = docs.join(gone, same, "left")
 
