@@ -23,14 +23,21 @@ def test_python_embedder_hook_equals_expression_embedder(spark):
 
 
 def test_generator_hook_bad_citations_are_annotated(spark):
-    def gen(system_prompt, prompt):
-        assert "RETRIEVED TRACK CATALOG" in prompt and system_prompt
-        return "Try [1] and [99]."
+    def make():
+        def generate(pairs):
+            assert all("RETRIEVED TRACK CATALOG" in prompt and system for system, prompt in pairs)
+            if any("bad" in prompt.split("USER REQUEST: ")[1] for _, prompt in pairs):
+                raise RuntimeError("refused")
+            return ["Try [1] and [99]." for _ in pairs]
+        return generate
 
     cat = Catalog(spark, SF_SMALL)
-    qs = spark.createDataFrame([("q1", "top pop songs"), ("q2", "   ")], "question_id string, question string")
-    out = PL.answer_with(cat.index, cat.embedded_docs, qs, generator=gen).collect()
-    assert [r["question_id"] for r in out] == ["q1"]            # the empty question is rejected
+    qs = spark.createDataFrame([("q1", "top pop songs"), ("q2", "   "), ("q3", "top bad songs")], "question_id string, question string")
+    out = sorted(PL.answer_with(cat.index, cat.embedded_docs, qs, generator=make).collect(), key=lambda r: r["question_id"])
+    assert [r["question_id"] for r in out] == ["q1", "q3"]      # the empty question is rejected
+    assert out[1]["answer"] is None and out[1]["error"] == "RuntimeError: refused" and out[0]["error"] is None
+    assert len(out[0]["tracks"]) == out[0]["n_tracks"] == 12
+    assert out[0]["tracks"][0]["similarity_score"] >= out[0]["tracks"][-1]["similarity_score"]
     assert out[0]["retrieval_mode"] == "tfidf"
     assert out[0]["answer"].startswith("Try [1] and [99].")
     assert "catalog entries [99]" in out[0]["answer"]

@@ -16,7 +16,7 @@ FAST = ["safe_numeric", "threshold_buckets", "track_blurb", "track_metadata", "d
         "profile_questions", "batch_profiles", "route_questions", "validate_questions", "lookup_hits",
         "build_catalog", "build_prompt", "verify_citations", "grounding_check", "retrieval_stats",
         "hit_listing", "display_features", "answer_questions", "scan_catalog", "scan_songs_strict",
-        "ingest_stats", "index_roundtrip", "route_override", "result_records"]
+        "ingest_stats", "index_roundtrip", "route_override", "result_records", "generated_answers"]
 
 
 def canon(v):

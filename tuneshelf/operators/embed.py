@@ -5,12 +5,14 @@ model weights, no Python worker).  Each token goes to bucket
 ``md5(token)[:8] mod dim`` with sign from the next bit, and the vector keeps
 integer counts; cosine normalises, so every engine computes it exactly.
 
-Hook: ``embed_with(df, fn)`` runs any batch embedder through ``mapInPandas``
-(model loaded once per task, Arrow batches of ``EMBED_BATCH`` rows).
+Hook: ``embed_with(df, make_embedder)`` runs any batch embedder through ``mapInPandas``
+(the factory is called once per task, which loads the model; batches of ``EMBED_BATCH`` rows).
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,13 +47,17 @@ def hashed_embedding(df: DataFrame, dim: int = 64, id_col: str = "doc_id", text_
             .select(id_col, F.coalesce(F.col(out_col), zero).alias(out_col)))
 
 
-def embed_with(df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]],
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
+def embed_with(df: DataFrame, make_embedder: Callable[[], Embedder],
                id_col: str = "doc_id", text_col: str = "text", out_col: str = "embedding",
                batch: int = fixed.EMBED_BATCH) -> DataFrame:
     """Run a batch embedder (texts -> vectors) on executors through Arrow."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed_fn = make_embedder()
         for pdf in it:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
@@ -62,22 +68,24 @@ def embed_with(df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]]
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, {out_col} array<double>")
 
 
-def python_hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """The same hashed bag of words in Python, for ``embed_with`` (checks the hook)."""
-    import hashlib
+def python_hashed_embedder(dim: int = 64) -> Callable[[], Embedder]:
+    """A factory of the same hashed bag of words in Python, for ``embed_with`` (checks the
+    hook; needs the ``regex`` package on the executors)."""
+
+    def make() -> Embedder:
+        import regex
 
-    import regex
+        return functools.partial(_python_hashed, regex.compile(fixed.TOKEN_PATTERN), dim)
 
-    pat = regex.compile(fixed.TOKEN_PATTERN)
+    return make
 
-    def fn(texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            v = [0.0] * dim
-            for tok in pat.findall(t.lower()):
-                h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
-                v[h % dim] += 1.0 if (h // dim) % 2 == 0 else -1.0
-            out.append(v)
-        return out
 
-    return fn
+def _python_hashed(pat, dim: int, texts: list[str]) -> list[list[float]]:
+    out = []
+    for t in texts:
+        v = [0.0] * dim
+        for tok in pat.findall(t.lower()):
+            h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
+            v[h % dim] += 1.0 if (h // dim) % 2 == 0 else -1.0
+        out.append(v)
+    return out

@@ -609,6 +609,11 @@ FROM q WHERE length(question) > 0"""
               f"{lit(fixed.PROMPT_REQUEST)} || q.text || '\n\n' || {lit(fixed.PROMPT_INSTRUCTION)}")
     o["build_prompt"] = (f"WITH {catalogue_hits(CAT_Q)},\n{CATALOGS.strip()}\n"
                          f"SELECT q.doc_id AS question_id, {prompt} AS prompt FROM catq q JOIN cats c ON c.question_id = q.doc_id")
+    o["generated_answers"] = f"""WITH {catalogue_hits(CAT_Q)}
+SELECT q.doc_id AS question_id,
+       CASE WHEN NOT contains(q.text, 'ring') THEN '[1] for ' || CAST(length(q.text) AS VARCHAR) || ' characters' END AS raw_answer,
+       CASE WHEN contains(q.text, 'ring') THEN 'ValueError: no answer' END AS error
+FROM catq q WHERE q.doc_id IN (SELECT question_id FROM hd)"""
     o["verify_citations"] = f"""WITH a AS (
   SELECT conv_id, turn, text || CASE WHEN conv_id % 5 = 2 THEN ' [' || repeat('987654321', 5) || '] [007]' ELSE '' END
          || ' [' || CAST(conv_id % 15 AS VARCHAR) || ']' AS answer

@@ -281,6 +281,25 @@ def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return G.build_prompt(S.catalogue_questions(spark, sf), cats).select("question_id", "prompt")
 
 
+def _failing_generator():
+    def generate(pairs):
+        out = []
+        for _, prompt in pairs:
+            request = prompt.split(fixed.PROMPT_REQUEST, 1)[1].removesuffix("\n\n" + fixed.PROMPT_INSTRUCTION)
+            if "ring" in request:
+                raise ValueError("no answer")
+            out.append(f"[1] for {len(request)} characters")
+        return out
+    return generate
+
+
+def generated_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch generator that fails on some questions: those get an error, the others answers."""
+    cats = G.build_catalog(_catalogue_hits(spark, sf))
+    prompts = G.build_prompt(S.catalogue_questions(spark, sf), cats)
+    return G.generate_with(prompts, _failing_generator).select("question_id", "raw_answer", "error")
+
+
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns with an appended ``[conv_id mod 15]`` citation, some of them with one
     of 45 digits as well; 12 entries retrieved."""
@@ -369,6 +388,7 @@ QUERIES: dict[str, Query] = {
     "verify_citations": verify_citations,
     "route_override": route_override,
     "result_records": result_records,
+    "generated_answers": generated_answers,
     "grounding_check": grounding_check,
     "retrieval_stats": retrieval_stats,
     "hit_listing": hit_listing,

@@ -4,8 +4,8 @@
 pipeline (``answer_with``) against the persisted index tables (stream-static,
 no state).  Output goes to ``answers/batch_id=N`` with overwrite of that one
 partition, so a replayed batch after a failure rewrites the same rows
-(exactly-once output per batch id).  Empty questions go to a rejected sink with
-a reason.  Offsets and commits live in the checkpoint under the shared folder.
+(exactly-once output per batch id).  Empty questions and those whose answer failed
+go to a rejected sink with a reason.  Offsets and commits live in the checkpoint under the shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..operators import retrieve as RT
 from ..options import DEFAULT, Settings
 from ..plans import pipeline as PL
 from ..plans import store as ST
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables as S
 
 QUESTION_SCHEMA = "question_id string, question string"
@@ -25,9 +25,9 @@ QUESTION_SCHEMA = "question_id string, question string"
 
 def answer_stream(spark: SparkSession, source_dir: str, index_root: str, out_dir: str,
                   checkpoint: str, settings: Settings = DEFAULT, files_per_batch: int = 1,
-                  available_now: bool = True, docs_where: Column | None = None):
+                  available_now: bool = True, docs_where: Column | None = None, generator=None):
     """Start the stream; returns the StreamingQuery.  ``docs_where`` limits the documents
-    that answers may use."""
+    that answers may use; ``generator`` is a factory as for ``generate_with``."""
     index = ST.open_index(spark, index_root)
     docs = ST.open_docs(spark, index_root)
     if docs_where is not None:
@@ -38,8 +38,10 @@ def answer_stream(spark: SparkSession, source_dir: str, index_root: str, out_dir
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         checked = RT.validate_questions(batch)
         rejected = checked.filter(~F.col("is_valid")).select("question_id", "question", "reason")
-        rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
-        answers = PL.answer_with(index, docs, batch, settings)
+        every = cut_lineage(PL.answer_with(index, docs, batch, settings, generator=generator), "stream-batch")
+        failed = every.filter(F.col("error").isNotNull()).select("question_id", "question", F.col("error").alias("reason"))
+        rejected.unionByName(failed).write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+        answers = every.filter(F.col("error").isNull()).drop("error")
         answers.write.mode("overwrite").parquet(f"{out_dir}/answers/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
