@@ -115,17 +115,20 @@ class CentroidGraph:
         ids, dist = ids[row, order], dist[row, order]
         return np.where(np.isfinite(dist), ids, -1), np.sqrt(dist)
 
-    def within(self, x: np.ndarray, ratio: float, width: int = 64) -> list[np.ndarray]:
-        """For each row the centroids no farther than ``ratio`` times its nearest one; the
-        beam widens until its last entry is farther, so none of those found is dropped."""
+    def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray, enough: int, width: int = 64) -> list[np.ndarray]:
+        """For each row the centroids no farther than ``ratio`` times its nearest one, and
+        further ones until their lists (of the given sizes) hold ``enough`` entries.  The beam
+        widens until its last entry is beyond both, so none of those found is dropped."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(x)
         todo = np.arange(len(x))
         while len(todo):
             ids, dist = self.search(x[todo], width)
             bound = dist[:, :1] * ratio + 1e-12
-            full = (dist[:, -1] <= bound[:, 0]) & (ids.shape[1] < len(self.c))
+            before = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
+            want = (dist <= bound) | (np.concatenate([np.zeros((len(ids), 1)), before[:, :-1]], 1) < enough)
+            full = want[:, -1] & (ids.shape[1] < len(self.c))
             for i in np.nonzero(~full)[0]:
-                out[todo[i]] = ids[i][(dist[i] <= bound[i]) & (ids[i] >= 0)]
+                out[todo[i]] = ids[i][want[i] & (ids[i] >= 0)]
             todo, width = todo[full], width * 4
         return out
 

@@ -3,8 +3,9 @@
 A bounded sample is clustered into balanced lists; a neighbour graph over the centroids sits
 in every task's memory.  Every vector is written to the list of its nearest centroid, and a
 boundary vector to a few more.  A query searches the graph and takes the lists whose centroid
-is no farther than ``ratio`` times its nearest one; the ratio is fitted on the sample so that
-these lists hold the wanted share of true neighbours.  Candidates are compared exactly, in
+is no farther than ``ratio`` times its nearest one (and more, until they surely hold k + 1
+vectors); the ratio is fitted on the sample so that these lists hold the wanted share of true
+neighbours.  Candidates are compared exactly, in
 double precision.
 
 Lists are packed into blocks of bounded size (a larger list is split), queries that meet a
@@ -74,11 +75,11 @@ def _assign_task(shared, dim: int, closure: float, replicas: int):
     return run
 
 
-def _probe_task(shared, dim: int, ratio: float):
+def _probe_task(shared, dim: int, ratio: float, sizes: np.ndarray, enough: int):
     def run(batches):
         graph = shared.value
         for batch in batches:
-            lists = graph.within(_matrix(batch.column(1), dim), ratio) if batch.num_rows else []
+            lists = graph.within(_matrix(batch.column(1), dim), ratio, sizes, enough) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))],
                                              ["q", "vec", "lists"])
     return run
@@ -152,12 +153,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     kind = base.schema["vec"].dataType.simpleString()
     index = few.select("vec_id", "vec").mapInArrow(_assign_task(shared, dim, CLOSURE, REPLICAS), f"vec_id long, vec {kind}, lists array<long>")
     index = cut_lineage(index.select("vec_id", "vec", F.explode("lists").alias("list")), "ann-index")
+    # one small row per list (at most MAX_LISTS of them) is planned with here
+    held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array([held.get(i, 0) for i in range(len(graph))])
     reps = cut_lineage(asked.groupBy("vec").agg(F.min("vec_id").alias("q")), "ann-distinct-queries")
-    probes = reps.select("q", "vec").mapInArrow(_probe_task(shared, dim, ratio), f"q long, vec {kind}, lists array<long>")
+    # a vector stands in at most REPLICAS lists, so these hold k + 1 different ones if there are as many
+    probes = reps.select("q", "vec").mapInArrow(_probe_task(shared, dim, ratio, sizes, (k + 1) * REPLICAS),
+                                                f"q long, vec {kind}, lists array<long>")
     probes = cut_lineage(probes, "ann-probes")
-
-    # lists into blocks: one small row per list (at most MAX_LISTS of them) is planned here
-    held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks, block, filled = [], 0, 0
     for name in sorted(held):
         n = held[name]
@@ -173,8 +176,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     asks = probes.select("q", "vec", F.explode("lists").alias("list")).join(plan, "list")
     asks = asks.withColumn("block", F.explode(F.expr("sequence(block, block + cuts - 1)")))
     asks = cut_lineage(asks.groupBy("q", "vec", "block").agg(F.collect_set("list").alias("lists")), "ann-asks")
-    sizes = {r["block"]: r["n"] for r in asks.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    shares = F.broadcast(spark.createDataFrame([(b, -(-n // BLOCK_QUERIES)) for b, n in sizes.items()], "block long, parts long"))
+    # a row per block that is asked: the planner broadcasts it as long as it is small
+    shares = asks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK_QUERIES)).alias("parts"))
+    shares = cut_lineage(shares, "ann-parts")
     index = index.join(shares, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     asks = asks.join(shares, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
     found = index.select("block", "part", "list", "vec_id", "vec").groupBy("block", "part").cogroup(
