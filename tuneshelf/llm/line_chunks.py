@@ -27,7 +27,7 @@ from .common import fresh
 
 #: A line with its closing marks and the blanks after them; all lines joined are the text.
 LINE = r"[^.!?\n]*[.!?\n]+ *|[^.!?\n]+"
-BOUNDARY = "c"  # a boundary where the rolling hash's first hex digit is below: 12 of 16
+BOUNDARY = "e"  # a boundary where the rolling hash's first hex digit is below: 14 of 16
 MARK, ESCAPE = "\x1e", "\x1f"  # two marks end a chunk while an array is split
 MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
 
@@ -129,7 +129,7 @@ WITH u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len
            FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+ *|[^.!?\n]+') AS l FROM documents WHERE text <> '')),
 t AS (SELECT *, trim(line, ' ' || chr(10)) AS t FROM u),
 r AS (SELECT *, md5(coalesce(lag(md5(t)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(t)) AS roll FROM t),
-b AS (SELECT *, CASE WHEN substr(roll, 1, 1) < 'c' OR i = total THEN 1 ELSE 0 END AS cut FROM r),
+b AS (SELECT *, CASE WHEN substr(roll, 1, 1) < 'e' OR i = total THEN 1 ELSE 0 END AS cut FROM r),
 k AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
 c AS (SELECT doc_id, k, string_agg(t, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM k GROUP BY doc_id, k),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY chunk) AS lo FROM c),
