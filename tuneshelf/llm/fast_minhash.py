@@ -6,9 +6,11 @@
    copies are one row however large they are).
 3. Classes that agree in a band are candidates.  Nothing expands a bucket into all its
    pairs: each bucket compares its members with one centre; links join components; buckets
-   whose members are all in one component are settled.  The rest get other centres for a
-   few rounds, and at last every pair of members of *different* components is compared, so
-   no candidate link between components is lost.
+   whose members are all in one component are settled.  In the others, a member too few of
+   whose shingles occur in other components to reach the threshold with any of them is
+   settled too (an exact bound).  The rest get another centre, and at last every pair of
+   members of *different* components is compared, so no candidate link between components
+   is lost.
 4. A candidate is confirmed on the full shingle sets (the sketches only drop pairs whose
    agreement is over seven standard deviations below the threshold).
 
@@ -33,7 +35,7 @@ from .common import components, fresh, maybe_broadcast, small_batches
 SHINGLE = 5
 THRESHOLD = 80  # per cent of the union
 ROWS, BANDS = 4, 24
-ROUNDS = 3  # centres tried for each unsettled bucket before its components are compared in full
+ROUNDS = 2  # centres tried for each unsettled bucket before its components are compared in full
 AGREE = 0.5  # least share of equal coordinates of a pair that is compared in full
 BROADCAST_IDS = 1_000_000  # ids of candidate texts, 8 bytes each
 
@@ -111,8 +113,40 @@ def _verify(pairs: DataFrame, marks: DataFrame, sets: DataFrame, threshold: int)
     return likely.where(100 * both >= threshold * (total - both)).select("a", "b")
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components."""
+    bands = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    return members.join(cut_lineage(bands, "near-mixed"), "band").select(*members.columns)
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """band, doc, label, n, covered of the members that may yet link to another component.
+
+    Exact: of a document's n shingles only the ``covered`` ones, which other components have
+    at all, can be common with a document of another component.  Two sets of n and m shingles
+    reach the threshold t only if t / (1 + t) of n + m are common, and m is at least the
+    smallest size in the bucket.  A member that cannot get there is out, and with it whatever
+    pairs it would have made.
+    """
+    labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    left = cut_lineage(_mixed(labelled.select("band", "doc", "label")), "near-open")
+    if left.isEmpty():
+        return left
+    docs = left.select("doc", "label").distinct()
+    own = cut_lineage(docs.join(sets, "doc"), "near-open-sets")
+    each = own.select("doc", "label", F.explode("elements").alias("e"))
+    shared = each.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
+    covered = each.join(cut_lineage(shared, "near-shared"), "e").groupBy("doc").agg(F.count("*").alias("covered"))
+    sizes = own.groupBy("doc").agg(F.min(F.size("elements")).alias("n"))
+    able = cut_lineage(covered.join(sizes, "doc").where(100 * F.col("covered") >= threshold * F.col("n")), "near-able")
+    left = cut_lineage(left.join(able, "doc"), "near-open")
+    least = cut_lineage(left.groupBy("band").agg(F.min("n").alias("least")), "near-least")
+    reach = F.col("covered") * (100 + threshold) >= threshold * (F.col("n") + F.col("least"))
+    return cut_lineage(_mixed(left.join(least, "band").where(reach)), "near-open")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    threshold: int = THRESHOLD, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
+                    threshold: int = THRESHOLD, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     every = cut_lineage(sketch(texts, k, rows, bands), "near-sketches")
@@ -147,25 +181,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = spark.createDataFrame([], pair_schema)
     links = cut_lineage(ties, "near-ties")
     labels = None
-    open_members = members.withColumn("label", F.col("doc"))
-    for i in range(rounds + 1):
-        if i:
-            open_members = members if labels is None else members.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-            open_members = open_members.withColumn("label", F.coalesce("component", "doc"))
-            mixed = cut_lineage(open_members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                                .where("lo < hi").select("band"), "near-mixed")
-            if mixed.isEmpty():
-                break
-            open_members = cut_lineage(open_members.join(mixed, "band").select("band", "doc", "label"), "near-open")
-        if i < rounds:
+    for i in range(ROUNDS + 1):
+        open_members = members.withColumn("label", F.col("doc")) if labels is None else _unsettled(members, labels, sets, threshold)
+        if i and open_members.isEmpty():
+            break
+        if i < ROUNDS:
             # round 0 takes the smallest id, so that most buckets of a group share their centre
             rank = F.col("doc") if i == 0 else F.xxhash64("doc", "band", F.lit(i))
             centres = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "doc", "label")).alias("c"))
             centres = cut_lineage(centres.select("band", F.col("c.doc").alias("centre"), F.col("c.label").alias("own")), "near-centres")
             pairs = open_members.join(centres, "band").where("label <> own").select("doc", "centre")
         else:
-            other = open_members.select("band", F.col("doc").alias("centre"), F.col("label").alias("own"))
-            pairs = open_members.join(other, "band").where("label < own").select("doc", "centre")
+            other = open_members.select("band", F.col("doc").alias("centre"), F.col("label").alias("own"), F.col("n").alias("m"),
+                                        F.col("covered").alias("covered_m"))
+            reach = F.least("covered", "covered_m") * (100 + threshold) >= threshold * (F.col("n") + F.col("m"))
+            pairs = open_members.join(other, "band").where("label < own").where(reach).select("doc", "centre")
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if i == 0 else cut_lineage(tested.unionByName(pairs), "near-tested")
@@ -174,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
 
     out = every.join(many.withColumnRenamed("rep", "c_rep"), "set_key", "left")
-    out = out.withColumn("rep", F.coalesce("c_rep", "doc_id"))
+    out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("c_rep", "doc_id")))
     out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
