@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if i and open_members.isEmpty():
             break
         if i < ROUNDS:
-            # round 0 takes the smallest id, so that most buckets of a group share their centre
-            rank = F.col("doc") if i == 0 else F.xxhash64("doc", "band", F.lit(i))
+            # round 0 takes the smallest id, so that most buckets of a group share their centre; then
+            # comes the member with the fewest shingles of its own, which is nearest to an original
+            rank = F.col("doc") if i == 0 else F.struct(F.col("n") - F.col("covered"), F.xxhash64("doc", F.lit(i)))
             centres = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "doc", "label")).alias("c"))
             centres = cut_lineage(centres.select("band", F.col("c.doc").alias("centre"), F.col("c.label").alias("own")), "near-centres")
             pairs = open_members.join(centres, "band").where("label <> own").select("doc", "centre")
