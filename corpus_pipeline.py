@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document that loses all goes."""
     removed = fresh(docs, "n_removed")
-    out = line_chunks.dedup_lines(docs, report=removed)
+    out = line_chunks.dedup_lines(docs, report=removed, whole=True)
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(removed) > 0, changed).otherwise(F.col("n_chars")))

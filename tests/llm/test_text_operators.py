@@ -93,6 +93,21 @@ def test_repeated_passage_goes_from_later_documents(spark):
         assert got[i].startswith(passage(5, 100 + i)[:60]) and got[i].endswith(passage(5, 200 + i)[-40:])
 
 
+def test_whole_runs_and_long_sentences_go(spark):
+    # five shared lines between own ones: chunk boundaries glue some outer line to a neighbour
+    shared = [passage(5, 300 + j) for j in range(12)]
+    sentence = " ".join(f"word{'abcdefghij'[n % 10]}{'klmnop'[n // 10]}" for n in range(53)) + "."
+    rows = [(1000, " ".join(shared) + "\n" + sentence, "s")]
+    rows += [(2000 + j, f"{passage(3, 400 + j)} {shared[j]} {passage(3, 500 + j)}", "s") for j in range(12)]
+    rows += [(3000, f"{passage(3, 600)} {sentence} {passage(3, 601)}", "s"), (3001, "Short stock line. " + passage(2, 602), "s"),
+             (3002, "Short stock line. " + passage(2, 603), "s")]
+    stock = {r.doc_id: r.text for r in line_chunks.dedup_lines(frame(spark, rows), whole=True).collect()}
+    assert stock[1000] == rows[0][1] and stock[3001] == rows[-2][1] and stock[3002] == rows[-1][1]
+    for j in range(12):
+        assert stock[2000 + j] == f"{passage(3, 400 + j)} {passage(3, 500 + j)}"
+    assert stock[3000] == f"{passage(3, 600)} {passage(3, 601)}"
+
+
 def test_stock_lines_marks_and_odd_rows_stay(spark):
     line = "All rights reserved. Thank you."
     rows = ODD + [(i, passage(3, i) + "\n" + line, "s") for i in range(10, 14)] + [(20, "odd \x1e\x1e marks \x1e. " + passage(4, 20), "s")]

@@ -8,6 +8,12 @@ the document with the smallest id keeps its chunk, and every other occurrence is
 with it byte for byte.  Runs of adjacent repeated chunks go when they have at least
 ``MIN_LINES`` lines and ``MIN_CHARS`` characters, so that short stock lines stay.
 
+That rule is the one of the SQL.  It leaves a shared line in place whose chunk is glued to a line
+of its own document, and a passage of one long sentence.  With ``whole`` every line is a
+chunk, so that a run reaches to the last shared line on either side, and a run also goes when
+it has ``LONG_WORDS`` words or ``LONG_CHARS`` characters, whatever its lines.  Passages that
+begin and end inside lines stay in either mode.
+
 Of all chunks only 64-bit hashes are shuffled.  The texts move twice, joined by document: once
 for the bytes of the candidate chunks, once for the cut.
 
@@ -29,7 +35,9 @@ from .common import fresh
 LINE = r"[^.!?\n]*[.!?\n]+ *|[^.!?\n]+"
 BOUNDARY = "e"  # a boundary where the rolling hash's first hex digit is below: 14 of 16
 MARK, ESCAPE = "\x1e", "\x1f"  # two marks end a chunk while an array is split
+EVERY = "g"  # above all hex digits: every line ends a chunk
 MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
+LONG_WORDS, LONG_CHARS = 50, 400  # either alone lets a run go too; characters for scripts without blanks
 
 
 def _escaped(c: Column) -> Column:
@@ -37,7 +45,7 @@ def _escaped(c: Column) -> Column:
     return F.replace(c, F.lit(MARK), F.lit(MARK + ESCAPE))
 
 
-def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
+def with_chunks(df: DataFrame, text: str = "text", boundary: str = BOUNDARY) -> DataFrame:
     """Adds arrays with one entry per chunk: ``raw`` (all of them joined are the text, marks
     escaped), ``chunk`` (its trimmed lines, joined by line breaks) and ``ends`` (the number of
     lines up to its end).  Every step is one pass over an array; no lambda looks into
@@ -46,7 +54,7 @@ def with_chunks(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("trimmed", F.transform("lines", lambda x: F.trim(x, F.lit(" \n"))))
     df = df.withColumn("line_hash", F.transform("trimmed", lambda x: F.md5(x)))
     before = F.concat(F.array(F.lit("")), F.slice("line_hash", F.lit(1), F.greatest(F.size("line_hash") - 1, F.lit(0))))
-    df = df.withColumn("is_end", F.zip_with(before, "line_hash", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1) < BOUNDARY))
+    df = df.withColumn("is_end", F.zip_with(before, "line_hash", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1) < boundary))
     last = F.concat(F.slice("is_end", F.lit(1), F.greatest(F.size("is_end") - 1, F.lit(0))), F.array(F.lit(True)))
     df = df.withColumn("is_end", F.when(F.size("is_end") > 0, last))
 
@@ -65,11 +73,12 @@ def lines_in(k: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+                    min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """doc_id, text_key, chunks: the numbers of the chunks to remove from each text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
     base = base.withColumn("text_key", F.xxhash64("text"))
-    hashed = with_chunks(base)
+    boundary = EVERY if whole else BOUNDARY
+    hashed = with_chunks(base, boundary=boundary)
     hashes = F.slice(F.transform("chunk", lambda c: F.xxhash64(c)), F.lit(1), F.size("ends"))
     hashed = cut_lineage(hashed.select("doc_id", "text_key", hashes.alias("hashes")), "chunk-hashes")
     rows = hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("k", "h"))
@@ -80,7 +89,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "h", "lo")).alias("found"))
     per_doc = cut_lineage(per_doc, "chunk-documents")
 
-    some = with_chunks(base.join(per_doc, ["doc_id", "text_key"]))
+    some = with_chunks(base.join(per_doc, ["doc_id", "text_key"]), boundary=boundary)
     some = some.select("doc_id", "text_key", "chunk", "ends", F.explode("found").alias("f"))
     texts = some.select("doc_id", "text_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.lo").alias("lo"),
                         lines_in(F.col("f.k")).alias("n"), F.get("chunk", F.col("f.k")).alias("chunk"))
@@ -88,20 +97,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = texts.where("doc_id = lo").select("h", F.col("chunk").alias("kept")).distinct()
     kept = cut_lineage(kept, "chunk-kept")
     same = texts.where("doc_id > lo").join(kept, "h").where("chunk = kept")
-    same = same.select("doc_id", "text_key", "k", "n", F.length("chunk").alias("chars")).distinct()
+    words = F.size(F.filter(F.split("chunk", r"\s+"), lambda w: w != "")) if whole else F.lit(0)
+    same = same.select("doc_id", "text_key", "k", "n", F.length("chunk").alias("chars"), words.alias("words")).distinct()
     place = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("k"))
     runs = same.withColumn("run", F.col("k") - place)  # equal within a run of adjacent chunks
     run = W.partitionBy("doc_id", "text_key", "run")
     runs = runs.withColumn("run_lines", F.sum("n").over(run)).withColumn("run_chars", F.sum("chars").over(run))
-    gone = runs.where((F.col("run_lines") >= min_lines) & (F.col("run_chars") >= min_chars))
+    goes = (F.col("run_lines") >= min_lines) & (F.col("run_chars") >= min_chars)
+    if whole:
+        goes |= (F.sum("words").over(run) >= LONG_WORDS) | (F.col("run_chars") >= LONG_CHARS)
+    gone = runs.withColumn("goes", goes).where("goes")
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set("k").alias("chunks"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True,
-                report: str | None = None, **kw) -> DataFrame:
+                report: str | None = None, whole: bool = False, **kw) -> DataFrame:
     """The documents with repeated chunks cut out of their texts, all columns as they were.
     ``report`` names an extra column: the number of chunks removed."""
-    gone = cut_lineage(repeated_chunks(docs, id_col, text_col, **kw), "chunk-gone")
+    gone = cut_lineage(repeated_chunks(docs, id_col, text_col, whole=whole, **kw), "chunk-gone")
     names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "gone", "body")}
     gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("chunks").alias(names["gone"]))
     same = (F.col(id_col) == F.col(names["id"])) & (F.xxhash64(text_col) == F.col(names["key"]))
@@ -111,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cols = docs.columns
     out = out.withColumn(names["body"], F.when(hit, F.col(text_col)))
     sub = with_chunks(out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["gone"]).alias("gone"),
-                                 F.col(names["body"]).alias("text")))
+                                 F.col(names["body"]).alias("text")), boundary=EVERY if whole else BOUNDARY)
     kept = F.filter("raw", lambda c, k: ~F.array_contains("gone", k))
     sub = sub.withColumn("cut", F.replace(F.array_join(kept, ""), F.lit(MARK + ESCAPE), F.lit(MARK)))
     at = cols.index(text_col)
