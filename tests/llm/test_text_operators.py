@@ -223,6 +223,39 @@ def test_terms_that_give_an_entity_away(spark):
     assert "rumpelstilt" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[6][1]
 
 
+def told(spark, rows):
+    """Per id the terms that are removed or generalised."""
+    out = {}
+    for r in pii_cooccur.sanitise(frame(spark, [(i, t, "s") for i, t in rows])).collect():
+        text = dict(rows)[r.doc_id]
+        out.setdefault(r.doc_id, set()).update(text[t.a: t.b] for t in r.terms or [])
+    return out
+
+
+def test_terms_seen_beside_one_entity_or_one_host(spark):
+    rnd = random.Random(4)
+    common = ["the", "of", "and", "to", "in", "was", "for", "with"]
+    filler = lambda n: " ".join(rnd.choices(common, k=n))
+    rows = [(i, filler(200)) for i in range(100, 600)]
+    rows += [(1, f"{filler(40)} zaphodine at +1 555 010 9999 {filler(40)}")]
+    # each address once, their host several times: a term of the host
+    rows += [(10 + i, f"{filler(40)} grindelwerk u{i}@castle.example.com {filler(40)}") for i in range(4)]
+    # copies of one text are one text: elsewhere the word stands alone
+    rows += [(30 + i, rows[-1][1].replace("grindelwerk", "gizmo").replace("u3@castle", "me@lone")) for i in range(1)]
+    rows += [(40 + i, rows[-1][1]) for i in range(5)]
+    rows += [(60 + i, f"{filler(40)} gizmo {filler(40)}") for i in range(25)]
+    got = told(spark, rows)
+    assert "zaphodine" in got[1] and all("grindelwerk" in got[10 + i] for i in range(4))
+    assert not any("gizmo" in x or x & set(common) for x in got.values())
+
+
+def test_levels_of_an_entity(spark):
+    near = spark.createDataFrame([("email:a.b@x.org", "t"), ("ip:10.0.2.7", "t"), ("phone:+155501", "t")], "entity string, term string")
+    assert {r.entity for r in pii_cooccur.with_levels(near).collect()} == {
+        "email:a.b@x.org", "email person:a.b", "email host:x.org", "email kind:", "ip:10.0.2.7", "ip net:10.0.2", "ip kind:",
+        "phone:+155501", "phone kind:"}
+
+
 def test_personal_data_of_odd_rows(spark):
     got = pii_cooccur.sanitise(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)

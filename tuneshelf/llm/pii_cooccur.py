@@ -9,13 +9,17 @@ of a term, c(e) words near an entity, c(t, e) occurrences of the term near it, a
 
 1 for a term that is never seen elsewhere, about 0 for an unrelated one.  A term near a
 mention whose disclosure exceeds ``DISCLOSES`` is generalised to its first letters when those
-disclose no more than that, and removed else.  Pairs seen fewer than ``SUPPORT`` times are no
-evidence.  Counts cover all words of all documents; pairs and words are added up in the
-tasks before they are shuffled, and nothing is collected or broadcast.
+disclose no more than that, and removed else.  Disclosure is bounded from below: the share
+c(t, e) / c(t) is taken at the lower end of its Wilson interval (``Z`` deviations), so that few
+occurrences weigh less, and none are dropped.  An entity is the literal one, the person or the
+host (network) of an address, and the whole kind; a term goes if it discloses any of them.
 
-Defined cases: a null or empty text has no spans; rows that repeat are treated alike (their
-words count as often as they occur); a null id is an id like others; an empty table gives an
-empty result.
+Counts cover all words of all distinct texts: copies of a text share one text's weight.  Pairs
+and words are added up in the tasks before they are shuffled.  Only the keys of repeated
+texts are broadcast, if counted few; else that join is shuffled.
+
+Defined cases: a null or empty text has no spans; rows that repeat are treated alike and count
+once; a null id is an id like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 6  # words on each side of a mention
-SUPPORT = 3
+Z = 1.96  # standard deviations below the observed share of a term's occurrences near an entity
 DISCLOSES = 0.8
 PREFIX = 3  # letters of a generalised term
 CACHE_WORDS = 400_000
+SALTS = 64  # parts of a kind's or host's terms: they are many rows of one entity
+BROADCAST_TEXTS = 1_000_000  # keys of repeated texts, 16 bytes each
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -163,10 +169,10 @@ def _find_task(window: int):
                     for i, s in enumerate(spans)]
             lists = [joined(s) for s in spans]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1),
+                batch.column(0), batch.column(1), batch.column(3),
                 *(pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists]), pa.array(lists, pa.string()), pa.array(near, near_type),
-            ], ["row", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
+            ], ["row", "doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
     return run
 
 
@@ -175,8 +181,8 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     small_batches(docs.sparkSession, 500)
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        _find_task(window), f"row long, doc_id {kind}, {counts}, base_sha256 string, base string, "
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        _find_task(window), f"row long, doc_id {kind}, text_key long, {counts}, base_sha256 string, base string, "
                             "near array<struct<entity:string,term:string,a:long,b:long>>")
 
 
@@ -186,12 +192,15 @@ def _word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["term", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
+        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if text and copies == 1:
                 counts.update(_WORD.findall(text.lower()))
+            elif text:
+                for term, n in Counter(_WORD.findall(text.lower())).items():
+                    counts[term] += n / copies
         if len(counts) > CACHE_WORDS:
             yield flush()
             counts.clear()
@@ -200,12 +209,32 @@ def _word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """term, n: occurrences of every word of all documents, added up per task first."""
+    """term, n: occurrences of every word of all distinct texts, added up per task first."""
+    keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
+    copies = keyed.groupBy(F.col("text_key").alias("copy_key")).agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = cut_lineage(copies, "pii-copies")
+    if copies.count() <= BROADCAST_TEXTS:
+        copies = F.broadcast(copies)
+    weighed = keyed.join(copies, F.col("text_key") == F.col("copy_key"), "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
     small_batches(docs.sparkSession, 500)
-    return docs.select("text").mapInArrow(_word_task, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # each copy adds its part; rounding takes off what the order of adding leaves
+    return weighed.mapInArrow(_word_task, "term string, n double").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
+def with_levels(near: DataFrame) -> DataFrame:
+    """``entity`` replaced by each of its levels, one row per level: the literal entity, the person
+    and the host of a mail address, the network of a network address, the kind."""
+    kind, value = F.substring_index("entity", ":", 1), F.expr("substr(entity, instr(entity, ':') + 1)")
+    levels = F.array(
+        F.col("entity"),
+        F.when(kind == "email", F.concat(F.lit("email person:"), F.substring_index(value, "@", 1))),
+        F.when(kind == "email", F.concat(F.lit("email host:"), F.substring_index(value, "@", -1))),
+        F.when(kind == "ip", F.concat(F.lit("ip net:"), F.substring_index(value, ".", 3))),
+        F.concat(kind, F.lit(" kind:")))
+    return near.withColumn("entity", F.explode(F.array_compact(levels)))
 
 
-def disclosing_terms(near: DataFrame, words: DataFrame, support: int = SUPPORT, limit: float = DISCLOSES) -> DataFrame:
+def disclosing_terms(near: DataFrame, words: DataFrame, z: float = Z, limit: float = DISCLOSES) -> DataFrame:
     """entity, term, disclosure, general: pairs above the limit; ``general`` is the term's
     first letters if those do not disclose the entity, else null (the term is removed).
 
@@ -213,36 +242,53 @@ def disclosing_terms(near: DataFrame, words: DataFrame, support: int = SUPPORT,
     """
     pairs = cut_lineage(near.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-pairs")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    around = cut_lineage(pairs.groupBy("entity").agg(F.sum("both").alias("c_e")), "pii-entities")
-    often = pairs.where(F.col("both") >= support)
-
-    def disclosure(both: str, c_t: str):
+    wide_level = F.col("entity").rlike("^(email host|ip net|[a-z]+ kind):")
+    salt = F.when(wide_level, F.pmod(F.xxhash64("term"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salted = pairs.withColumn("salt", salt)
+    around = salted.groupBy("entity", "salt").agg(F.sum("both").alias("c_e")).groupBy("entity").agg(F.sum("c_e").alias("c_e"))
+    around = cut_lineage(around, "pii-entities")
+    salts = F.when(wide_level, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    around = around.withColumn("salt", F.explode(salts))
+
+    def disclosure(share):
         n = F.lit(float(max(total, 1)))
-        return F.log2(F.col(both) * n / (F.greatest(F.col(c_t), F.col(both)) * F.col("c_e"))) / F.log2(n / F.col("c_e"))
+        return F.log2(share * n / F.col("c_e")) / F.log2(n / F.col("c_e"))
+
+    def low(both: str, c_t: str):
+        """Lower end of the Wilson interval of c(t, e) / c(t)."""
+        n = F.greatest(F.col(c_t), F.col(both).cast("double"))
+        p, zz = F.col(both) / n, z * z
+        return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
     # a term near several mentions counts for each, so c(t) is at least c(t, e)
-    scored = often.join(words.withColumnRenamed("n", "c_t"), "term").join(around, "entity").where(F.col("c_e") < F.lit(total))
-    scored = scored.withColumn("disclosure", disclosure("both", "c_t")).where(F.col("disclosure") > limit)
+    scored = salted.join(words.withColumnRenamed("n", "c_t"), "term").join(around, ["entity", "salt"]).where(F.col("c_e") < F.lit(total))
+    scored = scored.withColumn("disclosure", disclosure(low("both", "c_t"))).where(F.col("disclosure") > limit)
     scored = cut_lineage(scored.select("entity", "term", "c_e", "disclosure", F.substring("term", 1, PREFIX).alias("prefix")), "pii-disclosing")
     short = words.groupBy(F.substring("term", 1, PREFIX).alias("prefix")).agg(F.sum("n").alias("c_p"))
     together = pairs.groupBy("entity", F.substring("term", 1, PREFIX).alias("prefix")).agg(F.sum("both").alias("both_p"))
-    wide = scored.join(together, ["entity", "prefix"]).join(short, "prefix").withColumn("general_d", disclosure("both_p", "c_p"))
+    wide = scored.join(together, ["entity", "prefix"]).join(short, "prefix")
+    # what stays in the text is judged by the plain share, which is never below the bound
+    wide = wide.withColumn("general_d", disclosure(F.col("both_p") / F.greatest(F.col("c_p"), F.col("both_p").cast("double"))))
     vague = (F.col("general_d") <= limit) & (F.length("prefix") < F.length("term"))
     return wide.select("entity", "term", "disclosure", F.when(vague, F.concat("prefix", F.lit("*"))).alias("general"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-             support: int = SUPPORT, limit: float = DISCLOSES) -> DataFrame:
+             z: float = Z, limit: float = DISCLOSES) -> DataFrame:
     """doc_id, n_<kind>, base_sha256, spans, terms (a, b, general) of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = cut_lineage(find(docs, window), "pii-found")
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    near = found.where(F.size("near") > 0).select("row", "text_key", F.explode("near").alias("x")).select("row", "text_key", "x.*")
+    near = with_levels(near)
     words = cut_lineage(word_counts(docs), "pii-words")
-    told = cut_lineage(disclosing_terms(near.select("entity", "term"), words, support, limit), "pii-told")
-    hits = near.join(told, ["entity", "term"]).groupBy("row", "a", "b").agg(F.max(F.struct("disclosure", "general")).alias("worst"))
-    terms = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", F.col("worst.general").alias("general")))).alias("terms"))
+    # a place counts once in a text's copies, and once beside several mentions of a host or kind
+    counted = near.select("text_key", "entity", "term", "a", "b").distinct()
+    told = cut_lineage(disclosing_terms(counted, words, z, limit), "pii-told")
+    hits = near.join(told, ["entity", "term"]).groupBy("row", "a", "b").agg(
+        F.when(~F.bool_or(F.col("general").isNull()), F.max("general")).alias("general"))  # removed if any level asks for it
+    terms = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "general"))).alias("terms"))
     terms = cut_lineage(terms.withColumnRenamed("row", "t_row"), "pii-terms")
-    out = found.drop("near").join(terms, F.col("row") == F.col("t_row"), "left")
+    out = found.drop("near", "text_key").join(terms, F.col("row") == F.col("t_row"), "left")
     listed = F.transform("terms", lambda t: F.concat_ws(":", F.when(t["general"].isNull(), "remove").otherwise("generalise"), t["a"], t["b"]))
     # further kinds stand after the base ones, in alphabetical order
     listed = F.coalesce(listed, F.array().cast("array<string>"))
