@@ -55,6 +55,29 @@ def test_tree_cuts_what_all_pages_share(spark):
     assert got[100].text == "Daily News text"  # one page teaches nothing
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<div class='layout has-sidebar'><article><p>one</p><div class='comments'>no</div></article></div>", "one"),
+    ("<nav>menu</nav><article class='post comments-open'><p>one</p></article>", "one"),
+    ("<form><header>site</header><main><p>one</p></main></form>", "one"), ("<aside><article>teaser</article></aside><p>x", "x"),
+    ("<nav>menu</nav><div class='content has-sidebar'><p>one</p></div>", "one"), ("<nav>menu</nav><p hidden>h", ""),
+])
+def test_words_do_not_empty_a_page(html, text):
+    assert style_tree.main_text(html) == text
+
+
+def test_tree_overrides_markup(spark):
+    # a layout's class word around the text, an advert's around little; the story stands beside the article
+    rows = []
+    for i, _, h in site(12):
+        story = h[h.index("<div class='story'>"):h.index("<div class='legal'>")]
+        rows.append((i, f"http://a.example/{i}", f"<body><div class='page has-sidebar'>{story}</div><div class='ad'>buy {i} now</div></body>"))
+        rows.append((100 + i, f"http://b.example/{i}", f"<body><article><p>title {i}</p></article>{story}<div class='legal'><div>All rights reserved</div></div></body>"))
+    got = {r.page_id: r.text.split() for r in style_tree.extract(frame(spark, rows)).collect()}
+    for i in range(12):
+        assert len(got[i]) == 50 and "buy" not in got[i]
+        assert got[100 + i][:2] == ["title", str(i)] and len(got[100 + i]) == 52
+
+
 def test_importance_by_hand(spark):
     import math
     rows = [(i, "http://h.example/", f"<div class='a'>same</div><div class='b'>own {i}</div><div class='c'>{'x' if i < 5 else f'y{i}'}</div>") for i in range(10)]

@@ -15,9 +15,11 @@ td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements that never hold main text.
-BOILER = frozenset("""head nav footer aside form script style noscript template button select textarea title iframe object svg canvas
-audio video map menu dialog datalist math xmp noembed noframes""".split())
+#: Elements whose text is not shown as running text.
+UNSEEN = frozenset("""head script style noscript template button select textarea title iframe object svg canvas
+audio video map dialog datalist math xmp noembed noframes""".split())
+#: Elements that hold no main text, whatever is inside; a form marks like a class word, as it may hold the whole page.
+ASIDE = frozenset("nav footer aside menu".split())
 #: Words in a class, id or role that mark menus, notices, adverts, comments and the like.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs comment comments
 complementary consent contentinfo cookie cookies copyright discussion disqus footer form hidden login masthead menu menubar modal nav
@@ -43,43 +45,47 @@ BRANCH = 64  # outermost block elements that a block's branch names
 class Block(NamedTuple):
     text: str
     branch: tuple[int, ...]  # hashed paths of the elements around it, outermost first
-    boiler: bool
+    unseen: bool
     main: bool
+    mark: int = 0  # hashed path of the outermost element that marks it as boilerplate
+    firm: bool = False  # marked by an element's kind, not by words
 
 
 class _Open(NamedTuple):
     tag: str
     path: int
-    boiler: bool
+    unseen: bool
     main: bool
+    mark: int
+    firm: bool
     children: list
 
 
-_looks: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_looks: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
 _paths: dict[tuple[int, str], int] = {}
 
 
-def _look(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Label of an element (tag, classes and id without numbers), and whether its kind or
-    names mark it as boilerplate or as the main part."""
+def _look(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element (tag, classes and id without numbers), and whether it is unseen,
+    whether words mark it as boilerplate, and whether it is a main part."""
     if tag == "a" or not attrs or attrs.isspace():
-        return tag, tag in BOILER, tag in MAIN
+        return tag, tag in UNSEEN, tag == "form", tag in MAIN
     known = _looks.get((tag, attrs))
     if known:
         return known
-    label, boiler, main = [tag], tag in BOILER, tag in MAIN
+    label, unseen, marked, main = [tag], tag in UNSEEN, tag == "form", tag in MAIN
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             label += [("." if name == "class" else "#") + x for x in sorted(_NO_MARKUP.sub("0", value).split())]
         if name in ("class", "id", "role") and tag not in ("body", "html"):
-            boiler |= any(t.lower() in MARKS for t in _TOKEN.findall(value))
+            marked |= any(t.lower() in MARKS for t in _TOKEN.findall(value))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            boiler = True
+            unseen = True
         main |= (name == "role" and value.lower() == "main") or (name == "itemprop" and value == "articleBody")
     if len(_looks) >= CACHE:
         _looks.clear()
-    _looks[tag, attrs] = out = ("".join(label), boiler, main)
+    _looks[tag, attrs] = out = ("".join(label), unseen, marked, main)
     return out
 
 
@@ -114,7 +120,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[_Open] = [_Open("", 0, False, False, [])]
+    stack: list[_Open] = [_Open("", 0, False, False, 0, False, [])]
     words: list[str] = []
 
     def flush():
@@ -125,7 +131,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
                 top = stack[-1]
                 # the block belongs to the nearest block element; inline ones do not split branches
                 branch = [e.path for e in stack[1:] if e.tag in BLOCK][:BRANCH]
-                out.append(Block(text, tuple(branch), top.boiler, top.main))
+                out.append(Block(text, tuple(branch), top.unseen, top.main, top.mark, top.firm))
 
     def pop_to(depth: int):
         while len(stack) > depth:
@@ -177,7 +183,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
                 if stack[d].tag == tag:
                     if not block and any(e.tag in BLOCK for e in stack[d + 1:]):
                         break  # an inline end does not close blocks
-                    if stack[d].boiler != stack[d - 1].boiler:
+                    if stack[d].unseen != stack[d - 1].unseen or stack[d].mark != stack[d - 1].mark:
                         flush()
                     pop_to(d)
                     break
@@ -199,11 +205,16 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
                     break
         if tag == "body" and stack[-1].tag == "head":
             pop_to(len(stack) - 1)
-        label, boiler, main = _look(tag, attrs)
+        label, unseen, marked, main = _look(tag, attrs)
         top = stack[-1]
-        if tag == "header" and not top.main:
-            boiler = True  # a site's header; an article's own header holds its title
-        if boiler and not top.boiler:
+        # a site's header; an article's own header holds its title
+        firm = tag in ASIDE or (tag == "header" and not top.main)
+        mark = top.mark
+        if main and not top.firm:
+            marked, mark = False, 0  # no word overrides an article or main part, be it on it or around it
+        elif (firm or marked) and not mark:
+            mark = _path(top.path, label)
+        if (unseen and not top.unseen) or mark != top.mark:
             flush()
         if block and (not top.children or top.children[-1] != label) and len(top.children) < 64:
             top.children.append(label)  # runs of equal children count once
@@ -218,7 +229,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
         if len(stack) >= DEPTH:
             continue
         path = _path(top.path, label) if block else top.path
-        stack.append(_Open(tag, path, top.boiler or boiler, top.main or main, [] if block else top.children))
+        stack.append(_Open(tag, path, top.unseen or unseen, top.main or main, mark, top.firm or firm, [] if block else top.children))
     flush()
     pop_to(1)
     return out
