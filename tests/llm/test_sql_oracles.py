@@ -13,7 +13,7 @@ def rows(cols, data):
 
 def test_every_dealt_operator_is_registered():
     numbers = {int(n.split("_")[0][2:]) for n in LLM_QUERIES if n != "pipeline"}
-    assert numbers == set(range(1, 11)) and "pipeline" in LLM_QUERIES and set(LLM_ORACLES) <= set(LLM_QUERIES)
+    assert numbers == set(range(1, 14)) and "pipeline" in LLM_QUERIES and set(LLM_ORACLES) <= set(LLM_QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))

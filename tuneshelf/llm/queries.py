@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fast_minhash, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, posting_ann, style_tree, url_redirects, warc_zstd
+from . import (decontam, fast_minhash, hard_negatives, kn_toxicity, line_chunks, mix_schedule, pii_cooccur, poly_dedup, posting_ann,
+               prefix_trie, style_tree, url_redirects, warc_zstd)
 from .common import load
 
 
@@ -52,6 +53,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_redirects.judge(load(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(prefix_trie.turn_keys(load(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poly_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").where(hard_negatives.finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantise(F.col("embedding")).alias("vec"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 LLM_QUERIES = {
     "op1_pii": op1_pii,
     "op2_ann": op2_ann,
@@ -63,6 +80,9 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix": op9_mix,
     "op10_urls": op10_urls,
+    "op11_trie": op11_trie,
+    "op12_exact": op12_exact,
+    "op13_negatives": op13_negatives,
     "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES = {
@@ -71,4 +91,7 @@ LLM_ORACLES = {
     "op6_warc": warc_zstd.ORACLE,
     "op9_mix": mix_schedule.ORACLE,
     "op10_urls": url_redirects.ORACLE,
+    "op11_trie": prefix_trie.ORACLE,
+    "op12_exact": poly_dedup.ORACLE,
+    "op13_negatives": hard_negatives.ORACLE,
 }
