@@ -61,7 +61,9 @@ def embed_with(df: DataFrame, make_embedder: Callable[[], Embedder],
         for pdf in it:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
-                vecs = embed_fn(part[text_col].fillna("").tolist())
+                vecs = list(embed_fn(part[text_col].fillna("").tolist()))
+                if len(vecs) != len(part):  # without a vector of its own a text would get another's
+                    raise ValueError(f"the embedder returned {len(vecs)} vectors for {len(part)} texts")
                 yield pd.DataFrame({id_col: pd.Series(part[id_col].to_numpy(), dtype=object),
                                     out_col: pd.Series(list(vecs), dtype=object)})
 
