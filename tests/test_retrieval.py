@@ -55,29 +55,3 @@ def test_every_hit_is_grounded(spark):
     hits = RT.tfidf_topk(J.catalogue_index(spark, SF_SMALL), S.conversation_questions(spark, SF_SMALL), 12)
     docs = J.all_docs(spark, SF_SMALL)
     assert hits.join(docs, "doc_id", "left_anti").count() == 0
-
-
-def _exact_and_lsh(spark, **kw):
-    e = S.table(spark, SF_SMALL, "embeddings")
-    q = e.select(F.col("vec_id").alias("question_id"), "embedding")
-    d = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    exact = {(r["question_id"], r["doc_id"]) for r in SM.dense_topk(q, d, 10).collect()}
-    lsh = SM.lsh_topk(q, d, 10, **kw).collect()
-    return exact, lsh
-
-
-def test_lsh_recall_and_ranks(spark):
-    exact, lsh = _exact_and_lsh(spark, bucket_target=64)
-    got = {(r["question_id"], r["doc_id"]) for r in lsh}
-    recall = len(got & exact) / len(exact)
-    assert recall > 0.3                      # approximate, but far from random
-    by_q = {}
-    for r in lsh:
-        by_q.setdefault(r["question_id"], []).append(r["rank"])
-    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by_q.values())
-
-
-def test_lsh_oversized_buckets_fall_back_to_exact(spark):
-    # max_bucket=0 makes every non-empty bucket "hot": every question takes the exact path
-    exact, lsh = _exact_and_lsh(spark, max_bucket=0, tables=2)
-    assert {(r["question_id"], r["doc_id"]) for r in lsh} == exact

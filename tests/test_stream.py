@@ -10,3 +10,49 @@ def test_stream_equals_batch(spark):
     s = sorted(tuple(r) for r in QUERIES["stream_questions"](spark, SF_SMALL).select(*cols).collect())
     b = sorted(tuple(r) for r in QUERIES["answer_questions"](spark, SF_SMALL).select(*cols).collect())
     assert s and s == b
+
+
+def test_repeated_and_failing_questions(spark):
+    """One row each, whatever the number of sends: answers and rejections equal the batch's."""
+    rows = QUERIES["stream_retries"](spark, SF_SMALL).collect()
+    assert len(rows) == len({r["question_id"] for r in rows})
+    assert any(r["reason"] == "ValueError: no answer" for r in rows) and any(r["answer"] and r["attempt"] == 1 for r in rows)
+
+
+def test_a_retry_that_works_is_an_answer(spark):
+    """A generator that fails for a question until it was asked for it often enough."""
+    import os
+    import tempfile
+
+    from tuneshelf.plans import store as ST
+    from tuneshelf.session import scratch_path
+    from tuneshelf.streaming.questions import drain
+
+    marks = tempfile.mkdtemp(prefix="tuneshelf-tries-")
+
+    def make():
+        def generate(pairs):
+            out = []
+            for _, prompt in pairs:
+                need = next((n for n in (1, 2, 3, 4) if f"try{n}" in prompt), 1)
+                path = f"{marks}/try{need}"
+                seen = len(os.listdir(path)) if os.path.isdir(path) else 0
+                if len(pairs) > 1:
+                    raise RuntimeError("one by one")
+                os.makedirs(f"{path}/{seen}")
+                if seen + 1 < need:
+                    raise RuntimeError("not yet")
+                out.append(f"[1] after {seen + 1}")
+            return out
+        return generate
+
+    base = scratch_path(spark, "retry-stream")
+    ST.ingest(spark, SF_SMALL, f"{base}/index")
+    asked = [(f"q{n}", f"top songs try{n}") for n in (1, 2, 3, 4)] + [("q1", "top songs try1"), (None, "nobody"), ("q0", "  ")]
+    spark.createDataFrame(asked, "question_id string, question string").coalesce(1).write.parquet(f"{base}/in")
+    drain(spark, f"{base}/in", f"{base}/index", f"{base}/out", f"{base}/checkpoint", attempts=3, generator=make)
+    got = {r["question_id"]: r for r in spark.read.parquet(f"{base}/out/answers").collect()}
+    assert {k: (r["answer"].split("\n")[0], r["attempt"], r["snapshot"]) for k, r in got.items()} == {
+        "q1": ("[1] after 1", 1, 1), "q2": ("[1] after 2", 2, 1), "q3": ("[1] after 3", 3, 1)}
+    lost = {r["question_id"]: r["reason"] for r in spark.read.parquet(f"{base}/out/rejected").collect()}
+    assert lost == {"q4": "RuntimeError: not yet", "q0": "Question must not be empty."}

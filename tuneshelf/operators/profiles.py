@@ -3,19 +3,18 @@
 Score = [genre equal] + [mood equal] + 2 * (1 - |energy - target|).
 
 Top-k never pairs every profile with every song.  For a fixed profile the score
-of a song depends only on (genre match, mood match, energy), so among songs that
-share a join key and an energy value only the k lowest ordinals can win.  Four
-candidate sets cover every song class:
+of a song depends only on (genre match, mood match, energy), so within a class of songs
+that match alike the best are the ones nearest in energy.  Four classes cover every song:
 
   A  key (genre, mood)  - songs matching both
   B  key genre          - songs matching the genre (any mood)
   C  key mood           - songs matching the mood (any genre)
   D  key ''             - every song
 
-Each set keeps k representatives per (key, energy) through a WindowGroupLimit
-(partial limit before the shuffle, so a hot genre is cut map-side).  Energy is
-the 2-decimal metadata value, so a profile meets at most
-4 x k x (distinct energy values) candidates, whatever the catalogue size.
+Each class is one list of its energies in order, with the k lowest ordinals of each (two
+cursors, one down and one up from the target, read at most k steps each: behind them no
+unseen song can enter).  So a profile meets at most 8 x k candidates, whatever the
+catalogue size.  Energies have two decimals (the metadata value), which bounds a list.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import rules as R
 from ..functions.template import render
+from ..session import cut_lineage
 from .retrieve import top_n
 from .sizing import broadcast_if_small
 
@@ -148,18 +148,42 @@ def representatives(songs: DataFrame, k: int) -> DataFrame:
     return keyed.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
-def profile_topk(profiles: DataFrame, songs: DataFrame, k: int, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def energy_lists(songs: DataFrame, k: int) -> DataFrame:
+    """(set, key, steps): a class's distinct energies in order, each with its k lowest ordinals."""
+    reps = representatives(songs.filter(F.col("energy").isNotNull()).select("song_id", "genre", "mood", "energy"), k)
+    steps = reps.groupBy("set", "key", "energy").agg(F.array_sort(F.collect_list(F.struct("song_id", "genre", "mood"))).alias("songs"))
+    return steps.groupBy("set", "key").agg(F.array_sort(F.collect_list(F.struct("energy", "songs"))).alias("steps"))
+
+
+def _nearest(steps: Column, target: Column, k: int) -> Column:
+    """The first k songs of a list below the target, downwards, and the first k from it upwards."""
+    below = F.size(F.filter(steps, lambda s: s["energy"] < target))
+
+    def first(part: Column) -> Column:
+        return F.slice(F.flatten(F.transform(part, lambda s: F.transform(
+            s["songs"], lambda x: F.struct(x["song_id"].alias("song_id"), x["genre"].alias("genre"), x["mood"].alias("mood"), s["energy"].alias("energy"))))), 1, k)
+
+    down = F.reverse(F.slice(steps, F.greatest(below - k + 1, F.lit(1)), F.least(below, F.lit(k))))
+    return F.concat(first(down), first(F.slice(steps, below + 1, F.lit(k))))
+
+
+def profile_topk(profiles: DataFrame, songs: DataFrame, k: int, max_broadcast_lists: int = 2_000) -> DataFrame:
     """(profile_id, rank, song columns, score) with ties kept in catalogue order.
 
-    The representatives are at most k x (distinct (set, key, energy)) rows, so they
-    are broadcast behind a size check: the all-songs set has a single key, which a
-    keyed join would send to one task.  Past the bound the join stays keyed (AQE
-    splits the skewed partition).
+    The list of all songs has one key, which a keyed join would send to one task: it is one row
+    of bounded size and is broadcast.  The other lists (one for each genre, mood and pair) are
+    broadcast up to ``max_broadcast_lists`` of them; past that the join is keyed (AQE
+    splits skewed keys).  The songs' other columns are joined to the winners only.  A song
+    without energy has no score and is not listed.
     """
-    reps = broadcast_if_small(representatives(songs, k), max_broadcast_rows)
+    lists = cut_lineage(energy_lists(songs, k), "energy-lists")
     keyed = (profiles.select("*", F.explode(_set_keys(F.col("favorite_genre"), F.col("favorite_mood"))).alias("sk"))
              .select("*", F.col("sk.set").alias("set"), F.col("sk.key").alias("key")).drop("sk"))
-    cands = keyed.join(reps, ["set", "key"]).drop("set", "key").withColumn("score", score())
+    every, some = lists.filter("set = 'D'"), broadcast_if_small(lists.filter("set <> 'D'"), max_broadcast_lists)
+    met = keyed.filter("set = 'D'").join(F.broadcast(every), ["set", "key"]).unionByName(keyed.filter("set <> 'D'").join(some, ["set", "key"]))
+    cands = met.withColumn("song", F.explode(_nearest(F.col("steps"), F.col("target_energy"), k))).drop("set", "key", "steps")
+    cands = cands.select("*", "song.*").drop("song").withColumn("score", score())
     # a song can come through up to four sets: the top 4k rows hold every distinct winner
     distinct = top_n(cands, "profile_id", 4 * k, tie="song_id").drop("rank").dropDuplicates(["profile_id", "song_id"])
-    return top_n(distinct, "profile_id", k, tie="song_id")
+    best = top_n(distinct, "profile_id", k, tie="song_id")
+    return best.join(songs.drop("genre", "mood", "energy"), "song_id")

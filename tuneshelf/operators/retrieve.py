@@ -5,7 +5,8 @@ shares no term with a question scores only ``w_pop * pop / 100`` (weights are
 non-negative), so if it reaches that question's top-k it is also in the global
 popularity top-k under the same ranking key.  Candidates are therefore:
 
-* matched pairs: question terms joined to postings on ``term`` (sparse product),
+* matched documents: the term blocks whose score bound can reach the question's k-th score
+  (``termblocks``); a block is scored inside a task, and no pair becomes a row,
 * the global popularity top-k, attached to each question through an equi-join on
   a rank position (fan-out bounded by k).
 
@@ -18,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import rules as R
 from ..options import DEFAULT, Settings
-from .sizing import broadcast_if_bounded, term_rows_bound
+from .sizing import broadcast_if_bounded
+from .termblocks import bounded_topk
 from .textindex import TextIndex, question_vectors
 
 
@@ -47,7 +50,7 @@ def validate_questions(questions: DataFrame, id_col: str = "question_id",
     return questions.select(
         id_col, q.alias("question"),
         (F.coalesce(F.length(q), F.lit(0)) > 0).alias("is_valid"),
-        F.when(F.coalesce(F.length(q), F.lit(0)) == 0, F.lit("Question must not be empty."))
+        F.when(F.coalesce(F.length(q), F.lit(0)) == 0, F.lit(fixed.EMPTY_QUESTION))
          .alias("reason"))
 
 
@@ -59,15 +62,9 @@ def route(questions: DataFrame, force_tfidf: Column | None = None, text_col: str
 
 
 def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Settings = DEFAULT,
-               id_col: str = "question_id", text_col: str = "question") -> DataFrame:
+               id_col: str = "question_id", text_col: str = "question", stats: dict | None = None) -> DataFrame:
     """(question_id, rank, doc_id, cosine, popularity, score) for the top-k per question."""
     qvec = question_vectors(questions, index.vocab, id_col, text_col)
-    # bound the question vectors from text lengths instead of running them twice
-    qvec = broadcast_if_bounded(qvec, term_rows_bound(questions, text_col), settings.broadcast_max_rows)
-    matched = (index.postings.join(qvec, "term")
-               .groupBy(id_col, "doc_id")
-               .agg(F.sum(F.col("qweight") * F.col("weight")).alias("cosine"),
-                    F.max("popularity").alias("popularity")))
     # global popularity top-k: the key of a document with cosine 0
     pop_key = hybrid_score(F.lit(0.0), F.col("popularity"), settings)
     # k rows (TakeOrderedAndProject: per-partition top-k, then a k-way merge); the
@@ -79,16 +76,10 @@ def tfidf_topk(index: TextIndex, questions: DataFrame, k: int, settings: Setting
                .select("pos", "doc_id", "popularity"))
     slots = questions.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pos"))
     popular = (slots.join(F.broadcast(pop_top), "pos")
-               .select(id_col, "doc_id", F.lit(0.0).alias("cosine"), "popularity"))
-    cands = matched.unionByName(popular).withColumn(
-        "score", hybrid_score(F.col("cosine"), F.col("popularity"), settings))
-    # a document can be both matched and popular: every distinct document of the
-    # top-k is inside the top-2k rows, then duplicates collapse to the best row
-    best = (top_n(cands, id_col, 2 * k)
-            .groupBy(id_col, "doc_id")
-            .agg(F.max_by(F.struct("cosine", "popularity", "score"), "score").alias("b"))
-            .select(id_col, "doc_id", "b.cosine", "b.popularity", "b.score"))
-    return top_n(best, id_col, k).select(id_col, "rank", "doc_id", "cosine", "popularity", "score")
+               .select(F.col(id_col).alias("qid"), "doc_id", F.lit(0.0).alias("cosine"), "popularity"))
+    popular = popular.withColumn("score", hybrid_score(F.col("cosine"), F.col("popularity"), settings))
+    best = bounded_topk(index.blocks, qvec.withColumnRenamed(id_col, "qid"), popular, k, settings, stats)
+    return best.select(F.col("qid").alias(id_col), "rank", "doc_id", "cosine", "popularity", "score")
 
 
 def lookup_hits(hits: DataFrame, docs: DataFrame, settings: Settings = DEFAULT,

@@ -12,6 +12,7 @@ broadcast with a proven bound.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..functions.text import with_terms
 from ..options import DEFAULT, Settings
 from ..session import cut_lineage
 from .sizing import spread_by
+from .termblocks import TermBlocks, build_blocks
 
 
 @dataclass
@@ -29,6 +31,13 @@ class TextIndex:
     postings: DataFrame   # doc_id, term, weight, popularity
     docs: DataFrame       # doc_id, popularity (every document, with or without terms)
     n_docs: Column        # scalar subquery: number of documents
+    settings: Settings = DEFAULT
+    stored: TermBlocks | None = None  # the block layout, if it was stored with the index
+
+    @cached_property
+    def blocks(self) -> TermBlocks:
+        """Postings by term block; built at the first ranking, unless stored."""
+        return self.stored or build_blocks(self.postings, self.settings)
 
 
 def search_text(df: DataFrame, null_text: str = "nan") -> Column:
@@ -52,14 +61,18 @@ def term_counts(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .groupBy(id_col, "term", *keep).agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, vocab_size: int, id_col: str = "doc_id") -> DataFrame:
-    """Top ``vocab_size`` terms by corpus count (ties: term order), smoothed idf."""
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def capped_vocabulary(stats: DataFrame, n_docs: Column, vocab_size: int) -> DataFrame:
+    """Top ``vocab_size`` terms of (term, df, cf) by corpus count (ties: term order), smoothed idf."""
     top = stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(vocab_size)
     idf = F.log((n_docs + 1).cast("double") / (F.col("df") + 1).cast("double")) + F.lit(1.0)
     return top.select("term", "df", "cf", idf.alias("idf"))
 
 
+def vocabulary(counts: DataFrame, n_docs: Column, vocab_size: int, id_col: str = "doc_id") -> DataFrame:
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return capped_vocabulary(stats, n_docs, vocab_size)
+
+
 def unit_weights(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """tf * idf over vocabulary terms (unknown terms vanish), L2-normalised per id."""
     w = (counts.join(F.broadcast(vocab.select("term", "idf")), "term")
@@ -86,7 +99,7 @@ def build_text_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
         # write it once instead of re-aggregating all terms for each reader
         vocab = cut_lineage(vocab, "vocabulary")
     postings = unit_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight", "popularity")
-    return TextIndex(vocab=vocab, postings=postings, docs=docs.select("doc_id", "popularity"), n_docs=n_docs)
+    return TextIndex(vocab=vocab, postings=postings, docs=docs.select("doc_id", "popularity"), n_docs=n_docs, settings=settings)
 
 
 def catalogue_corpus(docs_or_catalog: DataFrame, null_text: str = "nan") -> DataFrame:

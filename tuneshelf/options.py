@@ -23,6 +23,15 @@ class Settings:
     # dense top-k blocking: questions and documents per cogroup cell
     question_block: int = 4096
     document_block: int = 32768
+    # pivots of the exact dense top-k beyond one document block, and the rows they are fitted on
+    pivots: int = 64
+    pivot_sample: int = 4096
+    # product codes: documents of a cell
+    code_block: int = 131_072
+    # term blocks: documents of a block, questions of a cell
+    term_block: int = 16_384
+    question_part: int = 4096
+    bound_cells: int = 20_000
     # write per-document term counts once (read by vocabulary and postings)
     checkpoint_counts: bool = True
 

@@ -496,6 +496,18 @@ SELECT CAST(ordinal AS VARCHAR) AS id, track_name AS title, track_artist AS arti
 FROM cat"""
     vocab_out = f"SELECT term, df, cf, {r1('idf', 10)} AS idf FROM {{p}}vocab"
     o["index_roundtrip"] = f"WITH {CAT},\n{CAT_CORPUS.strip()},\n{tfidf('c', 'ccorpus').strip()}\n" + vocab_out.format(p="c")
+    o["incremental_vocab"] = o["index_roundtrip"]
+    small = tfidf("s", "ccorpus").replace(f"LIMIT {fixed.VOCAB_SIZE}", "LIMIT 200")
+    o["index_snapshots"] = f"""WITH {DOCS},
+{CAT_CORPUS.strip()},
+{tfidf('c', 'ccorpus').strip()},
+{small.strip()},
+parts AS (
+  SELECT 1 AS snapshot, 'docs' AS part, COUNT(*) AS n_rows FROM docs UNION ALL SELECT 2, 'docs', COUNT(*) FROM docs
+  UNION ALL SELECT 1, 'popularity', COUNT(*) FROM ccorpus UNION ALL SELECT 2, 'popularity', COUNT(*) FROM ccorpus
+  UNION ALL SELECT 1, 'vocab', COUNT(*) FROM svocab UNION ALL SELECT 2, 'vocab', COUNT(*) FROM cvocab
+  UNION ALL SELECT 1, 'postings', COUNT(*) FROM spost UNION ALL SELECT 2, 'postings', COUNT(*) FROM cpost)
+SELECT * FROM parts"""
     o["safe_numeric"] = (f"WITH {CAT} SELECT track_id, " + ", ".join(
         f"{safe(c)} AS {c}" for c in ["track_popularity", "energy", "danceability", "valence", "tempo"]) + " FROM catall")
     o["threshold_buckets"] = (f"WITH {CAT} SELECT track_id, {energy_bucket('energy')} AS energy_desc, "
@@ -514,6 +526,7 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity + 0.0 AS l_qua
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) AS rn FROM lineitem)
 WHERE rn = 1"""
     o["artist_rollup"] = f"WITH {CAT},\n{ROLLUP.strip()}\nSELECT * FROM rollup"
+    o["incremental_rollup"] = o["artist_rollup"]
     o["artist_blurb"] = f"WITH {CAT},\n{ROLLUP.strip()},\n{ARTISTS.strip()}\nSELECT doc_id, blurb FROM artists"
     o["all_documents"] = f"WITH {DOCS}\nSELECT doc_id, doc_type, blurb, artist FROM docs"
     o["ingest_stats"] = f"""WITH {DOCS},
@@ -556,6 +569,8 @@ SELECT question_id, rank, doc_id, {r1('score', 4)} AS score FROM (
 SELECT question_id, rank, doc_id, {r1('score', 4)} AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {rank_key('score')} DESC, doc_id) AS rank
   FROM pairs WHERE doc_type = 'track') WHERE rank <= {K}"""
+    # codes only choose what is compared: their answers are the exact ones
+    o["semantic_topk_codes"] = o["semantic_topk_prefilter"]
     o["cosine_pairs"] = f"""WITH cells AS (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cent AS (SELECT label, i, CAST(SUM(CAST(CAST(x AS DOUBLE) AS DECIMAL(20,10))) AS DOUBLE) / COUNT(*) AS x
@@ -614,6 +629,23 @@ SELECT q.doc_id AS question_id,
        CASE WHEN NOT contains(q.text, 'ring') THEN '[1] for ' || CAST(length(q.text) AS VARCHAR) || ' characters' END AS raw_answer,
        CASE WHEN contains(q.text, 'ring') THEN 'ValueError: no answer' END AS error
 FROM catq q WHERE q.doc_id IN (SELECT question_id FROM hd)"""
+    o["names_said"] = f"""WITH {catalogue_hits(CAT_Q)},
+raw AS (SELECT question_id, CAST(split_part(question_id, ':', 1) AS BIGINT) AS conv, string_agg({_STUB}, '\n' ORDER BY rank) AS raw
+        FROM hd GROUP BY question_id),
+said AS (SELECT r.question_id, raw || CASE WHEN conv % 4 = 1 THEN ' Also try ' || COALESCE(p.p_name, '') ELSE '' END AS text
+         FROM raw r LEFT JOIN part p ON p.p_partkey = (r.conv * 13 + 5) % (SELECT COUNT(*) FROM part)),
+saidt AS (SELECT question_id, {tokens('text')} AS t FROM said),
+names AS (SELECT DISTINCT array_to_string(t, ' ') AS phrase, len(t) AS n FROM (SELECT {tokens('track_name')} AS t FROM cat) WHERE len(t) > 0),
+lens AS (SELECT DISTINCT n FROM names),
+pos AS (SELECT question_id, t, unnest(range(1, len(t) + 1)) AS i FROM saidt),
+grams AS (SELECT question_id, i, n, array_to_string(t[i:i + n - 1], ' ') AS phrase FROM pos, lens WHERE i + n - 1 <= len(t)),
+found AS (SELECT g.* FROM grams g JOIN names m ON g.phrase = m.phrase AND g.n = m.n),
+best AS (SELECT * FROM found a WHERE NOT EXISTS (
+           SELECT 1 FROM found b WHERE b.question_id = a.question_id AND b.n > a.n AND b.i <= a.i AND b.i + b.n >= a.i + a.n)),
+own AS (SELECT DISTINCT question_id, array_to_string({tokens('track_name')}, ' ') AS phrase FROM hd)
+SELECT b.question_id, b.phrase, COUNT(*) AS n_said FROM best b
+WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.question_id = b.question_id AND o.phrase = b.phrase)
+GROUP BY b.question_id, b.phrase"""
     o["verify_citations"] = f"""WITH a AS (
   SELECT conv_id, turn, text || CASE WHEN conv_id % 5 = 2 THEN ' [' || repeat('987654321', 5) || '] [007]' ELSE '' END
          || ' [' || CAST(conv_id % 15 AS VARCHAR) || ']' AS answer
@@ -667,6 +699,14 @@ SELECT question_id, rank, COALESCE(track_name, 'Unknown') AS track_name, COALESC
 FROM hd"""
     # the stream must give exactly the batch answers
     o["stream_questions"] = answers_sql()
+    cited = f"'[1] for ' || CAST(length(v.question) AS VARCHAR) || ' characters'"
+    o["stream_retries"] = f"""{answers_cte()}
+SELECT v.doc_id AS question_id,
+       CASE WHEN a.question_id IS NULL THEN {lit(fixed.NO_HITS_ANSWER)} WHEN NOT contains(v.question, 'ring') THEN {cited} END AS answer,
+       CASE WHEN a.question_id IS NOT NULL AND contains(v.question, 'ring') THEN 'ValueError: no answer' END AS reason,
+       CASE WHEN a.question_id IS NULL OR NOT contains(v.question, 'ring') THEN 1 END AS attempt
+FROM valid v LEFT JOIN agg a ON a.question_id = v.doc_id
+UNION ALL SELECT doc_id, NULL, {lit(fixed.EMPTY_QUESTION)}, NULL FROM vq WHERE question IS NULL OR length(question) = 0"""
     return {k: _q(v) for k, v in o.items()}
 
 

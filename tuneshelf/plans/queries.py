@@ -7,6 +7,7 @@ that pass through log/sqrt at 10 decimals.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,20 @@ from ..functions.vectors import cosine
 from ..operators import documents as D
 from ..operators import embed as E
 from ..operators import grounding as G
+from ..operators import lsa as LS
+from ..operators import mentions as M
+from ..operators import pq as PQ
 from ..operators import profiles as P
 from ..operators import retrieve as RT
 from ..operators import semantic as SM
 from ..operators import textindex as T
 from ..operators.sizing import broadcast_if_small
-from ..options import DEFAULT
-from ..session import scratch_path
+from ..options import DEFAULT, Settings
+from ..session import cut_lineage, scratch_path
 from ..sources import csvscan as C
 from ..sources import tables as S
 from . import catalog_jobs as J
+from . import increment as I
 from . import pipeline as PL
 from . import store as ST
 
@@ -65,6 +70,53 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return idx.vocab.select("term", "df", "cf", R.round_half_up("idf", 10).alias("idf"))
 
 
+def _changed_catalogue(spark: SparkSession, sf: str) -> str:
+    """A live catalogue that reaches the present one by three change sets: a tenth of the items
+    is added, a tenth corrected (name, genre and artist), and some that never were are changed
+    and removed."""
+    root = scratch_path(spark, "live-catalogue")
+    rows = J.Catalog(spark, sf).unique
+    part = F.col("ordinal") % 10
+    ghosts = rows.filter(part == 3).withColumns({
+        "ordinal": F.col("ordinal") + 5_000_000_000, "track_id": F.concat(F.lit("ghost-"), "track_id"),
+        "track_artist": F.when(F.col("ordinal") % 20 == 3, F.lit("Ghost")).otherwise(F.col("track_artist"))})
+    draft = rows.filter(part == 2).withColumns({
+        "track_name": F.concat("track_name", F.lit(" draft")), "playlist_genre": F.lit("draft"),
+        "track_artist": F.when(F.col("ordinal") % 20 == 2, F.lit("Draft")).otherwise(F.col("track_artist"))})
+    first = rows.filter(~part.isin(1, 2)).unionByName(draft).unionByName(ghosts)
+    renamed = ghosts.filter(F.col("ordinal") % 20 == 3).withColumn("track_name", F.concat(F.lit("the "), "track_name"))
+    for change in (first, rows.filter(part == 1), rows.filter(part == 2).unionByName(renamed)):
+        I.apply_changes(spark, root, change.withColumn("deleted", F.lit(False)))
+    I.apply_changes(spark, root, ghosts.withColumn("deleted", F.lit(True)))
+    return root
+
+
+def incremental_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus statistics after three change sets: those of a full rebuild."""
+    vocab = I.live_index(spark, _changed_catalogue(spark, sf)).vocab
+    return vocab.select("term", "df", "cf", R.round_half_up("idf", 10).alias("idf"))
+
+
+def incremental_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Artists after three change sets: those of a full rebuild."""
+    return I.live_rollup(spark, _changed_catalogue(spark, sf))
+
+
+def index_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ingests and one that dies half-way: the second stays current and whole, the
+    first can still be opened."""
+    root = scratch_path(spark, "index-snapshots")
+    small = Settings(vocab_size=200)
+    first, second = ST.ingest(spark, sf, root, small), ST.ingest(spark, sf, root)
+    J.Catalog(spark, sf, small).index.vocab.write.parquet(f"{root}/versions/died/vocab")  # no manifest names it
+    each = [ST.snapshot(spark, root, n) for n in (first, second)]
+    if ST.snapshot(spark, root).number != second:
+        raise RuntimeError("an unpublished ingest became current")
+    rows = [s.read(spark, p).agg(F.lit(s.number).alias("snapshot"), F.lit(p).alias("part"), F.count(F.lit(1)).alias("n_rows"))
+            for s in each for p in ("docs", "vocab", "postings", "popularity")]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 # ----------------------------------------------------------- projections ---
 
 def safe_numeric(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,9 +216,18 @@ def semantic_topk_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("question_id", "rank", "doc_id", _score4())
 
 
-def semantic_topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
+def semantic_topk_codes(spark: SparkSession, sf: str) -> DataFrame:
     docs = J.embedding_docs(spark, sf).filter(F.col("doc_type") == "track")
-    hits = SM.lsh_topk(_embedding_questions(spark, sf), docs, K)
+    hits = PQ.pq_topk(_embedding_questions(spark, sf), docs, K)
+    return hits.select("question_id", "rank", "doc_id", _score4())
+
+
+def semantic_topk_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue's items nearest to each question by vectors that its texts teach."""
+    index = J.Catalog(spark, sf).index
+    basis = LS.learn_basis(index, DEFAULT.embed_dim)
+    questions = LS.embed_questions(index, basis, S.catalogue_questions(spark, sf))
+    hits = SM.dense_topk(cut_lineage(questions, "learned-questions"), cut_lineage(LS.embed_documents(index, basis), "learned-documents"), K)
     return hits.select("question_id", "rank", "doc_id", _score4())
 
 
@@ -300,6 +361,19 @@ def generated_answers(spark: SparkSession, sf: str) -> DataFrame:
     return G.generate_with(prompts, _failing_generator).select("question_id", "raw_answer", "error")
 
 
+def names_said(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue names that answers say although they were not retrieved: a quarter of the
+    answers also recommends some item by name."""
+    hits = cut_lineage(_catalogue_hits(spark, sf), "said-hits")
+    part = S.table(spark, sf, "part").select("p_partkey", "p_name")
+    n = part.select(F.count(F.lit(1))).scalar()
+    conv = F.substring_index("question_id", ":", 1).cast("long")
+    raw = G.stub_answers(hits).withColumn("conv", conv).withColumn("item", (F.col("conv") * 13 + 5) % n)
+    more = F.when(F.col("conv") % 4 == 1, F.concat(F.lit(" Also try "), F.coalesce("p_name", F.lit("")))).otherwise("")
+    said = raw.join(part, F.col("item") == F.col("p_partkey"), "left").select("question_id", F.concat("raw_answer", more).alias("raw_answer"))
+    return M.names_not_retrieved(said, hits, J.Catalog(spark, sf).unique)
+
+
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns with an appended ``[conv_id mod 15]`` citation, some of them with one
     of 45 digits as well; 12 entries retrieved."""
@@ -347,14 +421,27 @@ def result_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_questions(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.questions import run_question_stream
-    return run_question_stream(spark, sf).select("question_id", "retrieval_mode", "n_tracks",
-                                                 "track_ids", "answer")
+    out = spark.read.parquet(run_question_stream(spark, sf) + "/answers")
+    return out.select("question_id", "retrieval_mode", "n_tracks", "track_ids", "answer")
+
+
+def stream_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that are sent repeatedly, and a generator that fails for some of them always:
+    one answer or one rejection each, whatever the number of sends."""
+    from ..streaming.questions import run_question_stream
+    out = run_question_stream(spark, sf, n_files=2, repeats=True, generator=_failing_generator, attempts=2)
+    answers = spark.read.parquet(out + "/answers").select("question_id", "answer", F.lit(None).cast("string").alias("reason"), "attempt")
+    lost = spark.read.parquet(out + "/rejected").select("question_id", F.lit(None).cast("string").alias("answer"), "reason", F.lit(None).cast("int").alias("attempt"))
+    return answers.unionByName(lost)
 
 
 QUERIES: dict[str, Query] = {
     "scan_catalog": scan_catalog,
     "scan_songs_strict": scan_songs_strict,
     "index_roundtrip": index_roundtrip,
+    "index_snapshots": index_snapshots,
+    "incremental_vocab": incremental_vocab,
+    "incremental_rollup": incremental_rollup,
     "safe_numeric": safe_numeric,
     "threshold_buckets": threshold_buckets,
     "track_blurb": track_blurb,
@@ -371,7 +458,8 @@ QUERIES: dict[str, Query] = {
     "tfidf_topk_documents": tfidf_topk_documents,
     "semantic_topk": semantic_topk,
     "semantic_topk_prefilter": semantic_topk_prefilter,
-    "semantic_topk_lsh": semantic_topk_lsh,
+    "semantic_topk_codes": semantic_topk_codes,
+    "semantic_topk_learned": semantic_topk_learned,
     "cosine_pairs": cosine_pairs,
     "embed_documents": embed_documents,
     "profile_score": profile_score,
@@ -386,6 +474,7 @@ QUERIES: dict[str, Query] = {
     "build_catalog": build_catalog,
     "build_prompt": build_prompt,
     "verify_citations": verify_citations,
+    "names_said": names_said,
     "route_override": route_override,
     "result_records": result_records,
     "generated_answers": generated_answers,
@@ -395,4 +484,5 @@ QUERIES: dict[str, Query] = {
     "display_features": display_features,
     "answer_questions": answer_questions,
     "stream_questions": stream_questions,
+    "stream_retries": stream_retries,
 }

@@ -6,12 +6,16 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()  # applications that have this package on their executors
+_jobs = threading.local()  # the scratch folders of the jobs that this thread is in
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tuneshelf") -> SparkSession:
@@ -85,7 +89,24 @@ def is_local_master(master: str) -> bool:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in getattr(_jobs, "made", [])[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables that are made inside when the job is done.  Its result must
+    be written elsewhere by then (a lazy result that reads them would find nothing)."""
+    from .sources import files
+
+    _jobs.made = [*getattr(_jobs, "made", []), []]
+    try:
+        yield
+    finally:
+        for path in _jobs.made.pop():
+            files.delete(spark, path)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
