@@ -10,7 +10,9 @@ A url's key drops what redirects commonly drop: the scheme, the fragment, tracki
 parameters, a closing slash and an index file.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no key, and no
-rule; a null page gives no edges; rows that repeat are judged alike; no rules: all allowed;
+rule; a null page gives no edges; a relative target counts from the page's base element or
+its url, and one that is no web address or a mere fragment gives no edge; urls and pages of any
+length are read whole; rows that repeat are judged alike; no rules: all allowed;
 an empty table gives an empty result.
 """
 
@@ -61,18 +63,36 @@ _LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
 
 
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute url of a target as a page at ``base`` names it; null for another kind of
+    address (``mailto:``) and for a mere fragment."""
+    scheme = F.substring_index(base, "://", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(base, "://([^/?#]*)", 1))
+    path = F.regexp_extract(base, "://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    # the last step, if it is none of its own, leaves a closing slash
+    steps = F.split(F.regexp_replace(whole, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(
+        s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s))))
+    walked = F.concat(site, F.array_join(kept, "/"), rest)
+    other = target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~target.contains("://")
+    return (F.when(other | (target == "") | target.startswith("#"), F.lit(None).cast("string"))
+            .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("?"), F.concat(site, path, target)).otherwise(walked))
+
+
 def page_targets(url: Column, html: Column) -> Column:
     """Absolute urls that a page names as its canonical self or sends its visitors to."""
     raw = F.concat(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    scheme = F.substring_index(url, "://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(url, "://([^/?#]*)", 1))
-
-    def absolute(t: Column) -> Column:
-        t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-        return (F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-                .when(t.startswith("/"), F.concat(site, t)))
-
-    return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), absolute), lambda t: t.isNotNull())
+    named = F.regexp_extract(html, _BASE, 1)
+    base = F.when(named == "", url).otherwise(F.coalesce(resolve(named, url), url))
+    found = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda t: resolve(F.replace(t, F.lit("&amp;"), F.lit("&")), base))
+    return F.filter(found, lambda t: t.isNotNull())
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id",
@@ -85,12 +105,12 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
                         url_key(url).alias("node"), page_targets(url, F.col(html_col)).alias("targets"))
     base = cut_lineage(base.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)), "url-base")
-    edges = base.where(F.size("targets") > 0).select(F.col("node").alias("a"), F.explode("targets").alias("t"))
-    edges = edges.select("a", url_key(F.col("t")).alias("b"))
-    ends = edges
+    links = base.where(F.size("targets") > 0).select(F.col("node").alias("a"), F.explode("targets").alias("to_url"))
+    edges = links.select("a", url_key(F.col("to_url")).alias("b"))
+    named_urls = links.select(F.col("to_url").alias("u"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("from_url")).alias("a"), url_key(F.col("to_url")).alias("b")))
-        ends = edges
+        named_urls = named_urls.unionByName(redirects.select(F.explode(F.array("from_url", "to_url")).alias("u")))
     labels = components(edges)
 
     # decisions of the members: pages by their own rule, and targets that are no page here
@@ -98,9 +118,9 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
         return [node.alias("node"), (own["verdict"] == "block").alias("blocked"), (own["verdict"] == "allow").alias("allowed")]
 
     members = base.where("node is not null and own is not null").select(*decided(F.col("node"), F.col("own")))
-    keys = ends.select(F.explode(F.array("a", "b")).alias("k")).where("k is not null").distinct()
-    as_url = F.concat(F.lit("://"), F.col("k"))
-    keys = keys.withColumn("own", rule_of(host_of(as_url), F.concat(path_of(as_url), F.when(path_of(as_url) == "", "/").otherwise("")), rules))
+    # a target is judged by its url: its key has lost what a rule may ask for
+    keys = named_urls.where("u is not null").distinct().select(
+        url_key(F.col("u")).alias("k"), rule_of(host_of(F.col("u")), path_of(F.col("u")), rules).alias("own")).where("k is not null")
     members = members.unionByName(keys.where("own is not null").select(*decided(F.col("k"), F.col("own"))))
     members = members.groupBy("node").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
     classes = (members.join(labels, "node", "left").groupBy(F.coalesce("component", "node").alias("alias"))
