@@ -66,17 +66,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
-def train_dictionary(recs: DataFrame, total: int, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES,
+def train_dictionary(recs: DataFrame, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES,
                      dict_bytes: int = DICT_BYTES) -> bytes:
-    """A dictionary from the records with the smallest digests (at most ``sample_records``,
-    of each at most ``sample_bytes``).  Too few of them: their bytes serve as they are."""
+    """A dictionary from the distinct response payloads with the smallest digests (at most
+    ``sample_records``, of each at most ``sample_bytes``).  Too few of them: their bytes serve
+    as they are."""
     import zstandard as zstd
 
-    # of ``total`` records some four times the sample can be among the smallest digests; the
-    # others are left out before any task sends its smallest ones
-    share = min(1.0, 4 * sample_records / max(total, 1))
+    # some four times the sample can be among the smallest digests; the others are left out
+    # before any task sends its smallest ones.  Distinct digests are counted (a sketch does):
+    # repeated payloads would make the wanted share of digests too small
+    own = recs.where("n > 0 and refers_to is null")
+    kinds = own.agg(F.approx_count_distinct("digest")).first()[0]
+    share = min(1.0, 4 * sample_records / max(kinds, 1))
     first = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    rows = recs.where("n > 0").where(first < int(share * (1 << 32))).select("digest", F.substring("payload", 1, sample_bytes).alias("p")).orderBy("digest").limit(sample_records)
+    rows = own.where(first < int(share * (1 << 32))).select("digest", F.substring("payload", 1, sample_bytes).alias("p"))
+    rows = rows.dropDuplicates(["digest"]).orderBy("digest").limit(sample_records)
     sample = [bytes(r["p"]) for r in rows.collect()]
     if not sample:
         return b""
@@ -156,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     filesystem, root = _open_fs(folder)
     filesystem.create_dir(root, recursive=True)
     recs = records(pages, **cols)
-    dictionary = train_dictionary(recs, pages.count())
+    dictionary = train_dictionary(recs)
     recs = recs.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest",
                        F.col("refers_to").cast("string").alias("refers_to"))
     return cut_lineage(recs.mapInArrow(_write_task(folder, dictionary, archive_bytes), MANIFEST), "warc-manifest")
