@@ -103,9 +103,9 @@ def _compare(dim: int, keep: int, id_type: pa.DataType):
             diff = v[rows] - q[i]
             d = np.sqrt((diff * diff).sum(1))
             best = np.lexsort((ids[rows], d))
-            best = best[: keep * REPLICAS]  # a vector may stand in several of the lists
-            pair = np.stack([d[best], ids[rows][best].astype(np.float64)], 1)
-            best = best[np.sort(np.unique(pair, axis=0, return_index=True)[1])][:keep]
+            best = best[: keep * REPLICAS]  # a vector may stand in several of the lists: its rows are neighbours here
+            again = (ids[rows][best][1:] == ids[rows][best][:-1]) & (d[best][1:] == d[best][:-1])
+            best = best[np.concatenate([[True], ~again])][:keep]
             out[0].extend([name] * len(best))
             out[1].append(ids[rows][best])
             out[2].append(d[best])
