@@ -65,6 +65,70 @@ def test_words_do_not_empty_a_page(html, text):
     assert style_tree.main_text(html) == text
 
 
+def test_comments_go_and_words_inside_an_article_stay(spark):
+    """Comments are marked as blog software does, articles inside a section; the article's
+    own parts have names that hold a telling word."""
+    rows, want = [], {}
+    for i, u, h in site(20):
+        own = " ".join(h.split("<div>")[3].split("</div>")[0].split())
+        body = (f"<article class='post comments-open'><h1>title {i}</h1><p class='lead search'>lead {own}</p><div class='cookie-recipe'>bake {i}</div>"
+                f"<section class='comments'><article class='comment-body'>says {i}</article></section></article>"
+                f"<div id='comments' class='comments-area'><article class='comment-body'><p>reader {i} says {own}</p></article></div>")
+        rows.append((i, u, f"<body><div class='page has-sidebar'>{body}</div><div class='legal'>All rights reserved</div></body>"))
+        want[i] = f"title {i} lead {own} bake {i}"
+    rows += [(100, "http://lone.example/", rows[3][2])]  # alone on its host: markup decides
+    got = {r.page_id: r.text for r in style_tree.extract(frame(spark, rows)).collect()}
+    assert got == want | {100: want[3]}
+
+
+def brute_importance(pages):
+    """The style tree of one host in plain Python, from the pages' blocks and child sequences."""
+    import math
+    m, texts, looks = len(pages), {}, {}
+    for html in pages:
+        styles = []
+        blocks = {(b.branch, b.text) for b in read(html, styles) if not b.unseen and not b.firm and not b.mark and b.branch}
+        for branch, text in blocks:
+            leaf = texts.setdefault(branch[-1], (branch, Counter()))
+            leaf[1][text] += 1
+        for node, style in set(styles):
+            if style:
+                looks.setdefault(node, Counter())[style] += 1
+    content = {}
+    for branch, counts in texts.values():
+        for node in branch:
+            own = content.setdefault(node, [0.0, 0])
+            own[0] += sum(n * (1 - math.log(n) / math.log(m)) for n in counts.values())
+            own[1] += sum(counts.values())
+    out = {}
+    for node, (weight, n) in content.items():
+        value = weight / n
+        if node in looks:
+            total = sum(looks[node].values())
+            shown = -sum(c / total * math.log(c / total) for c in looks[node].values()) / math.log(m)
+            keep = style_tree.DECAY ** len(looks[node])
+            value = (1 - keep) * shown + keep * value
+        out[node] = round(value, 9)
+    return out
+
+
+def test_importance_equals_the_tree_in_plain_python(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(30):
+        parts = "".join(f"<div class='c{rnd.randint(0, 3)}'><p>{rnd.choice(['same', 'other', f'own {i} {j}'])}</p>{'<ul><li>x</ul>' * rnd.randint(0, 2)}</div>" for j in range(rnd.randint(0, 90)))
+        rows.append((i, f"http://t.example/{i}", f"<body><div class='top'>top</div>{parts}<div class='end'>end {i % 4}</div></body>"))
+    got = {r.node: round(r.importance, 9) for r in style_tree.importance(frame(spark, rows)).collect()}
+    assert got == brute_importance([h for _, _, h in rows])
+
+
+def test_long_child_sequences_differ(spark):
+    first, second = [], []
+    read("<body><section>" + "<p>a</p><div>b</div>" * 80 + "</section></body>", first)
+    read("<body><section>" + "<p>a</p><div>b</div>" * 79 + "<p>a</p><ul>c</ul></section></body>", second)
+    assert dict(first) != dict(second)
+
+
 def test_tree_overrides_markup(spark):
     # a layout's class word around the text, an advert's around little; the story stands beside the article
     rows = []
@@ -120,6 +184,12 @@ def test_archives_round_trip(spark):
     assert payloads == Counter({"x" * 200: 1, "short": 2, "": 1, big: 1, "y" * 100: 2})
 
 
+def test_few_distinct_payloads_give_a_dictionary(spark):
+    """Most rows repeat a payload, or one too small to be revisited: distinct ones are sampled."""
+    rows = spark.range(30_000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>payload number ', id % 7, '</p>', repeat('text ', CAST(id % 2 AS INT) * 30)) AS html")
+    assert len(warc_zstd.train_dictionary(warc_zstd.records(rows), sample_records=20)) > 0
+
+
 def test_archive_begins_with_its_dictionary_and_frames_stand_alone(spark):
     import zstandard as zstd
     rows = [(i, f"http://h/{i}", f"<html><body class='page'><h1>Title {i}</h1><p>{'lorem ipsum ' * 20}{i}</p></body></html>") for i in range(300)]
@@ -160,6 +230,47 @@ def test_rules(spark, url, rule, verdict):
     assert (r.rule, r.verdict) == (rule, verdict)
 
 
+def link(target, base=""):
+    return f"<head>{base}<link rel='canonical' href='{target}'></head>"
+
+
+@pytest.mark.parametrize("target,base,url", [
+    ("page.html", "", "http://h.org/a/page.html"), ("../x?q=1", "", "http://h.org/x?q=1"), ("?id=3", "", "http://h.org/a/b.html?id=3"), ("./", "", "http://h.org/a/"),
+    ("../../../y", "", "http://h.org/y"), ("//o.org/z", "", "http://o.org/z"), ("/r/./s/../t", "", "http://h.org/r/t"), ("..", "", "http://h.org/"),
+    ("sub/c", "<base href='/root/x'>", "http://h.org/root/sub/c"), ("c", "<base href='https://b.org/q/'>", "https://b.org/q/c"),
+    ("mailto:a@b.c", "", None), ("#top", "", None), ("ftp://f.org/a", "", "ftp://f.org/a")])
+def test_targets_are_resolved(spark, target, base, url):
+    page = frame(spark, [(1, "http://h.org/a/b.html?x=1#f", link(target, base))])
+    got = page.select(url_redirects.page_targets(page.url, page.html).alias("t")).first().t
+    assert got == ([] if url is None else [url])
+
+
+def test_targets_are_judged_by_their_url(spark):
+    """The front page of a blocked section, whose key has lost the closing slash; an alias
+    through a relative link; a very long url."""
+    rows = [(1, "https://other.org/copy", link("https://example.com/en/")), (2, "https://other.org/dir/copy2", link("../copy")),
+            (3, "https://other.org/plain", ""), (4, "https://example.com/en/x", None), (5, "http://h.org/" + "a" * 100_000, link("https://example.com/en/" + "b" * 100_000))]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_redirects.judge(frame(spark, rows)).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("example.com/en/", "block"), 5: (None, "block")}
+
+
+def test_sql_of_the_url_filter_on_pages_with_links(spark, tmp_path):
+    """The given pages have no links: the same SQL on pages that have."""
+    import duckdb
+    rnd = random.Random(6)
+    urls = [f"https://{h}/{p}" for h in ("example.com", "www.example.com", "a.net", "b.org") for p in ("en/", "en/x", "es/y", "z?utm_source=q", "z/index.html", "z")]
+    rows = [(i, rnd.choice(urls), f'<link rel="canonical" href="{rnd.choice(urls)}">' if rnd.random() < 0.6 else rnd.choice(["", None])) for i in range(60)]
+    rows = [r for r in rows if r[2] is None or r[2] == "" or r[2].split('"')[3] in {u for _, u, _ in rows}]  # the SQL takes decisions from pages only
+    own = {r[1] for r in rows}
+    rows = [(i, u, h if not h or h.split('"')[3] in own else "") for i, u, h in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = Counter(map(str, con.execute(url_redirects.ORACLE).fetchall()))
+    got = Counter(str(tuple(r)) for r in url_redirects.judge(df).collect())
+    assert got == want and any("block" in k and "None, 'block'" in k for k in got)
+
+
 def test_blocks_pass_to_aliases_but_not_over_an_allow(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
     rows = [(1, "http://x.org/a", link("http://b.net/es/1")), (2, "https://x.org/a/#top", None), (3, "http://y.org/q", '<meta http-equiv=refresh content="0; url=/r">'),

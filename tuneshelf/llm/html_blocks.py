@@ -26,6 +26,11 @@ complementary consent contentinfo cookie cookies copyright discussion disqus foo
 navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion recommended related
 replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget
 widgets""".split())
+#: First parts of class and id names that mark readers' comments, and endings that only say whether there are any.
+TALK = ("comment", "disqus", "discussion", "replies", "reply")
+TALK_STATE = ("open", "opened", "closed", "enabled", "disabled", "on", "off", "count", "link", "links", "status", "allowed")
+#: Elements of running text: inside an article a word on them says nothing.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote figure figcaption pre table td th tr dl dt dd hgroup em strong b i code q".split())
 MAIN = frozenset("article main".split())
 #: A start tag that closes an open element of the same group, up to the element in the second place.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -58,34 +63,44 @@ class _Open(NamedTuple):
     main: bool
     mark: int
     firm: bool
-    children: list
+    talk: bool
+    children: list  # the last child's label and a hash of the sequence of labels
 
 
-_looks: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+_looks: dict[tuple[str, str], tuple[str, bool, bool, bool, bool, bool]] = {}
 _paths: dict[tuple[int, str], int] = {}
 
 
-def _look(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+def _is_talk(name: str) -> bool:
+    parts = [t.lower() for t in _TOKEN.findall(name)]
+    return bool(parts) and parts[0] in (*TALK, "comments") and parts[-1] not in TALK_STATE
+
+
+def _look(tag: str, attrs: str) -> tuple[str, bool, bool, bool, bool, bool]:
     """Label of an element (tag, classes and id without numbers), and whether it is unseen,
-    whether words mark it as boilerplate, and whether it is a main part."""
+    whether words mark it as boilerplate, whether whole names do, whether it is a main part,
+    and whether it holds readers' comments."""
     if tag == "a" or not attrs or attrs.isspace():
-        return tag, tag in UNSEEN, tag == "form", tag in MAIN
+        return tag, tag in UNSEEN, tag == "form", tag == "form", tag in MAIN, False
     known = _looks.get((tag, attrs))
     if known:
         return known
     label, unseen, marked, main = [tag], tag in UNSEEN, tag == "form", tag in MAIN
+    whole, talk = marked, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             label += [("." if name == "class" else "#") + x for x in sorted(_NO_MARKUP.sub("0", value).split())]
         if name in ("class", "id", "role") and tag not in ("body", "html"):
             marked |= any(t.lower() in MARKS for t in _TOKEN.findall(value))
+            whole |= any(t.lower() in MARKS for t in value.split())
+            talk |= any(_is_talk(t) for t in value.split())
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             unseen = True
         main |= (name == "role" and value.lower() == "main") or (name == "itemprop" and value == "articleBody")
     if len(_looks) >= CACHE:
         _looks.clear()
-    _looks[tag, attrs] = out = ("".join(label), unseen, marked, main)
+    _looks[tag, attrs] = out = ("".join(label), unseen, marked, whole, main, talk)
     return out
 
 
@@ -116,11 +131,12 @@ def _tag_end(page: str, at: int) -> int:
 
 def read(page: str | None, styles: list | None = None) -> list[Block]:
     """The text blocks of a page in order, white space folded, references decoded.
-    ``styles`` receives (path, sequence of child labels) of each element that ends."""
+    ``styles`` receives (path, hash of its sequence of child labels) of each element that ends;
+    0 for one without elements."""
     out: list[Block] = []
     if not page:
         return out
-    stack: list[_Open] = [_Open("", 0, False, False, 0, False, [])]
+    stack: list[_Open] = [_Open("", 0, False, False, 0, False, False, ["", 0])]
     words: list[str] = []
 
     def flush():
@@ -136,7 +152,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
     def pop_to(depth: int):
         while len(stack) > depth:
             if styles is not None and stack[-1].tag in BLOCK:
-                styles.append((stack[-1].path, "|".join(stack[-1].children)))
+                styles.append((stack[-1].path, stack[-1].children[1]))
             stack.pop()
 
     def add(text: str):
@@ -205,19 +221,23 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
                     break
         if tag == "body" and stack[-1].tag == "head":
             pop_to(len(stack) - 1)
-        label, unseen, marked, main = _look(tag, attrs)
+        label, unseen, marked, whole, main, talk = _look(tag, attrs)
         top = stack[-1]
+        if top.main:  # inside an article only whole names tell, and not on running text
+            marked = (whole and tag not in RUNNING) or (talk and tag not in RUNNING)
         # a site's header; an article's own header holds its title
         firm = tag in ASIDE or (tag == "header" and not top.main)
         mark = top.mark
-        if main and not top.firm:
+        # readers' comments: no article among them is the page's, nor is one inside the page's article
+        talk = top.talk or (talk and (top.main or not main) and tag not in RUNNING)
+        if main and not top.firm and not talk:
             marked, mark = False, 0  # no word overrides an article or main part, be it on it or around it
-        elif (firm or marked) and not mark:
+        elif (firm or marked or talk) and not mark:
             mark = _path(top.path, label)
         if (unseen and not top.unseen) or mark != top.mark:
             flush()
-        if block and (not top.children or top.children[-1] != label) and len(top.children) < 64:
-            top.children.append(label)  # runs of equal children count once
+        if block and top.children[0] != label:  # runs of equal children count once
+            top.children[:] = label, _path(top.children[1], label)
         if tag in VOID or attrs.endswith("/"):
             if tag == "hr":
                 words.append(" ")
@@ -229,7 +249,7 @@ def read(page: str | None, styles: list | None = None) -> list[Block]:
         if len(stack) >= DEPTH:
             continue
         path = _path(top.path, label) if block else top.path
-        stack.append(_Open(tag, path, top.unseen or unseen, top.main or main, mark, top.firm or firm, [] if block else top.children))
+        stack.append(_Open(tag, path, top.unseen or unseen, top.main or (main and not talk), mark, top.firm or firm, talk, ["", 0] if block else top.children))
     flush()
     pop_to(1)
     return out

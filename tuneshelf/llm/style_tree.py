@@ -12,7 +12,8 @@ Markup is a prior.  Script, hidden parts and controls are no text.  Parts that `
 ``aside``, ``menu`` or a site's ``header`` name go.  A form, or a part with a telling word in its
 class, id or role, goes unless the host's pages show that it holds the main text: its importance
 times its share of the host's important text is ``MARKED`` or more.  No word on or around an
-article or main part counts against it.  Only on hosts with too few pages to learn from, an
+article or main part counts against it, but readers' comments are none of it, whatever elements
+they use; inside it only a whole class name counts, and not on running text.  Only on hosts with too few pages to learn from, an
 article or main part stands for the whole page; elsewhere the tree decides.
 
 Only hashes of paths and texts are shuffled.  Their counts are added up in the tasks first,
@@ -39,7 +40,7 @@ from .common import small_batches
 DECAY = 0.9
 THRESHOLD = 0.3  # importance below which a branch is cut
 MARKED = 0.5  # importance times share of the host's text from which a part with a telling word stays
-MIN_PAGES, MIN_SHARE = 5, 0.05  # a branch is learned from so many pages, and so much of its host
+MIN_PAGES = 5  # a host and a branch are learned from so many pages
 BROADCAST_NODES = 1_000_000  # cut branches in all, 8 bytes each
 
 
@@ -65,7 +66,7 @@ def _node_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # what elements name as boilerplate is cut anyway; the tree learns about the rest
             seen = {(x.branch, _hash(x.text), x.mark, len(x.text)) for x in blocks if not x.unseen and not x.firm and x.branch}
             leaves.append([{"branch": list(b), "text": t, "mark": m, "chars": n} for b, t, m, n in seen])
-            looks.append([{"node": p, "style": s} for p, s in {(p, _hash(s)) for p, s in styles if s}])
+            looks.append([{"node": p, "style": s} for p, s in set(styles) if s])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaves, leaf), pa.array(looks, look)], ["host", "leaves", "looks"])
 
 
@@ -110,11 +111,11 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def cut_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """host, nodes, marks: the branches to cut and the marked parts to keep, one row for every
-    host that was learned.  Each branch stands on at least MIN_SHARE of the host's pages, so
-    their number is bounded by the size of a page over MIN_SHARE; fewer than 1 / MARKED parts stay."""
+    host that was learned.  A cut branch's texts stand on more than m^(1 - threshold) of the
+    host's m pages on average, which bounds their number; fewer than 1 / MARKED parts stay."""
     parsed, size, texts = _parsed(pages, url_col, html_col)
     nodes = _importance(parsed, size, texts)
-    low = (F.col("importance") < threshold) & (F.col("n_pages") >= F.greatest(F.lit(float(MIN_PAGES)), MIN_SHARE * F.col("m")))
+    low = (F.col("importance") < threshold) & (F.col("n_pages") >= MIN_PAGES)
     cut = nodes.where(low).groupBy("host").agg(F.collect_set("node").alias("nodes"))
     part = texts.groupBy("host", "mark").agg(F.sum(F.col("weight") * F.col("chars")).alias("own"), F.sum(F.col("n") * F.col("chars")).alias("shown"))
     part = cut_lineage(part, "tree-marks")
