@@ -22,7 +22,7 @@ def dense(index):
 def test_basis_equals_the_exact_decomposition(spark):
     index = Catalog(spark, SF_SMALL).index
     docs, a = dense(index)
-    basis = lsa.learn_basis(index, 8)
+    basis = lsa.learn_basis(index, 8, passes=12)
     _, values, vt = np.linalg.svd(a, full_matrices=False)
     assert np.allclose(basis.values, values[:8], rtol=1e-3)
     assert np.allclose(basis.vectors.T @ basis.vectors, np.eye(8), atol=1e-9)

@@ -12,13 +12,6 @@ def test_stream_equals_batch(spark):
     assert s and s == b
 
 
-def test_repeated_and_failing_questions(spark):
-    """One row each, whatever the number of sends: answers and rejections equal the batch's."""
-    rows = QUERIES["stream_retries"](spark, SF_SMALL).collect()
-    assert len(rows) == len({r["question_id"] for r in rows})
-    assert any(r["reason"] == "ValueError: no answer" for r in rows) and any(r["answer"] and r["attempt"] == 1 for r in rows)
-
-
 def test_a_retry_that_works_is_an_answer(spark):
     """A generator that fails for a question until it was asked for it often enough."""
     import os

@@ -429,7 +429,7 @@ def stream_retries(spark: SparkSession, sf: str) -> DataFrame:
     """Questions that are sent repeatedly, and a generator that fails for some of them always:
     one answer or one rejection each, whatever the number of sends."""
     from ..streaming.questions import run_question_stream
-    out = run_question_stream(spark, sf, n_files=2, repeats=True, generator=_failing_generator, attempts=2)
+    out = run_question_stream(spark, sf, n_files=1, repeats=True, generator=_failing_generator, attempts=2)
     answers = spark.read.parquet(out + "/answers").select("question_id", "answer", F.lit(None).cast("string").alias("reason"), "attempt")
     lost = spark.read.parquet(out + "/rejected").select("question_id", F.lit(None).cast("string").alias("answer"), "reason", F.lit(None).cast("int").alias("attempt"))
     return answers.unionByName(lost)

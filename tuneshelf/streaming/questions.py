@@ -135,7 +135,7 @@ def drain(spark: SparkSession, source_dir: str, index_root: str, out_dir: str, c
 
 
 def run_question_stream(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT,
-                        n_files: int = 4, repeats: bool = False, generator=None, attempts: int = 1) -> str:
+                        n_files: int = 2, repeats: bool = False, generator=None, attempts: int = 1) -> str:
     """End to end on the driver tables: conversation questions are landed as files and
     streamed in micro-batches; ``repeats`` sends a third of them again in every file.
     Returns the folder of the sinks (``answers``, ``rejected``)."""
