@@ -108,6 +108,20 @@ def test_vector_blocks_equal_brute_force_and_skip_clusters(spark):
     assert share["clustered"] < 0.5 and share["clustered"] < share["spread"]
 
 
+def test_cells_meet_without_adaptive_partitions(spark):
+    """Keys of both sides are dealt alike when nothing coalesces the partitions (as in a stream)."""
+    x = np.random.default_rng(9).standard_normal((2100, 8))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for s in (Settings(question_block=9), Settings(document_block=500, pivots=4)):
+            got = SM.dense_topk(vectors_frame(spark, x[:30], "question_id"), vectors_frame(spark, x, "doc_id"), 5, s).collect()
+            assert ranked(got) == brute_cosine(x[:30], x, 5)
+        assert ranked(PQ.pq_topk(vectors_frame(spark, x[:30], "question_id"), vectors_frame(spark, x, "doc_id"), 5).collect()) == brute_cosine(x[:30], x, 5)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 # -------------------------------------------------------------- product codes ---
 
 

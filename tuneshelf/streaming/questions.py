@@ -2,8 +2,10 @@
 
 ``readStream`` over a folder of question files and one over a folder of retries; a stateful
 operator keyed by question id (``transformWithState``) lets each question through once, however
-often it is sent, and a retry only if it is the next one of its question.  Its state is a number
-and is forgotten ``remember`` after the last row of that question (a time to live on the state).
+often it is sent, and a retry only if it is the next one of its question.  Its state is a number.
+In a stream that runs on it is forgotten ``remember_ms`` after the last row of that question (a time
+to live on the state); a run over what is there keeps it, as a clock that may always expire
+something would never let such a run end.
 Each micro-batch then runs the batch pipeline (``answer_with``) against the index snapshot that
 is current when the batch begins, so a newly published index is used from the next batch on.
 
@@ -44,7 +46,7 @@ class OncePerAttempt(StatefulProcessor):
     """Keeps the number of the last attempt of a question and lets only the next one through.
     Of rows of one attempt in one batch the smallest text goes on (null last)."""
 
-    def __init__(self, remember_ms: int) -> None:
+    def __init__(self, remember_ms: int | None) -> None:
         self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -67,17 +69,18 @@ class OncePerAttempt(StatefulProcessor):
         pass
 
 
-def once_each(asked: DataFrame, remember_ms: int = REMEMBER_MS) -> DataFrame:
+def once_each(asked: DataFrame, remember_ms: int | None = None) -> DataFrame:
     """The rows of a stream (question_id, question, attempt) that are new attempts; rows
     without an id cannot be told apart and are dropped."""
     keyed = asked.filter(F.col("question_id").isNotNull()).groupBy("question_id")
-    return keyed.transformWithStateInPandas(OncePerAttempt(remember_ms), RETRY_SCHEMA, "Append", "ProcessingTime")
+    mode = "None" if remember_ms is None else "ProcessingTime"
+    return keyed.transformWithStateInPandas(OncePerAttempt(remember_ms), RETRY_SCHEMA, "Append", mode)
 
 
 def answer_stream(spark: SparkSession, source_dir: str, index_root: str, out_dir: str,
                   checkpoint: str, settings: Settings = DEFAULT, files_per_batch: int = 1,
                   available_now: bool = True, docs_where: Column | None = None, generator=None,
-                  attempts: int = ATTEMPTS, remember_ms: int = REMEMBER_MS):
+                  attempts: int = ATTEMPTS, remember_ms: int | None = REMEMBER_MS):
     """Start the stream; returns the StreamingQuery.  ``docs_where`` limits the documents
     that answers may use; ``generator`` is a factory as for ``generate_with``.  With
     ``available_now`` a run takes what is there; ``drain`` repeats it for the retries."""
@@ -89,7 +92,7 @@ def answer_stream(spark: SparkSession, source_dir: str, index_root: str, out_dir
     asked = spark.readStream.schema(QUESTION_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     asked = asked.withColumn("attempt", F.lit(1))
     again = spark.readStream.schema(RETRY_SCHEMA + ", batch_id long").parquet(retries).drop("batch_id")
-    stream = once_each(asked.unionByName(again), remember_ms)
+    stream = once_each(asked.unionByName(again), None if available_now else remember_ms)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         with job_scratch(spark):
