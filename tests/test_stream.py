@@ -12,30 +12,22 @@ def test_stream_equals_batch(spark):
     assert s and s == b
 
 
-def test_a_retry_that_works_is_an_answer(spark):
-    """A generator that fails for a question until it was asked for it often enough."""
-    import os
-    import tempfile
-
+def test_a_retry_that_works_is_an_answer(spark, tmp_path):
+    """A generator that fails for a question until a later run; repeats and odd questions."""
     from tuneshelf.plans import store as ST
     from tuneshelf.session import scratch_path
-    from tuneshelf.streaming.questions import drain
+    from tuneshelf.streaming.questions import answer_stream
 
-    marks = tempfile.mkdtemp(prefix="tuneshelf-tries-")
+    clock = tmp_path / "run"
 
     def make():
         def generate(pairs):
-            out = []
+            run, out = int(clock.read_text()), []
             for _, prompt in pairs:
                 need = next((n for n in (1, 2, 3, 4) if f"try{n}" in prompt), 1)
-                path = f"{marks}/try{need}"
-                seen = len(os.listdir(path)) if os.path.isdir(path) else 0
-                if len(pairs) > 1:
-                    raise RuntimeError("one by one")
-                os.makedirs(f"{path}/{seen}")
-                if seen + 1 < need:
+                if run < need:
                     raise RuntimeError("not yet")
-                out.append(f"[1] after {seen + 1}")
+                out.append(f"[1] in run {run}")
             return out
         return generate
 
@@ -43,9 +35,14 @@ def test_a_retry_that_works_is_an_answer(spark):
     ST.ingest(spark, SF_SMALL, f"{base}/index")
     asked = [(f"q{n}", f"top songs try{n}") for n in (1, 2, 3, 4)] + [("q1", "top songs try1"), (None, "nobody"), ("q0", "  ")]
     spark.createDataFrame(asked, "question_id string, question string").coalesce(1).write.parquet(f"{base}/in")
-    drain(spark, f"{base}/in", f"{base}/index", f"{base}/out", f"{base}/checkpoint", attempts=3, generator=make)
+    for run in (1, 2, 3):
+        clock.write_text(str(run))
+        if run == 2:  # sent again: answered and failed ones alike
+            spark.createDataFrame(asked[:4], "question_id string, question string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+            ST.ingest(spark, SF_SMALL, f"{base}/index")
+        answer_stream(spark, f"{base}/in", f"{base}/index", f"{base}/out", f"{base}/checkpoint", attempts=3, generator=make).awaitTermination()
     got = {r["question_id"]: r for r in spark.read.parquet(f"{base}/out/answers").collect()}
     assert {k: (r["answer"].split("\n")[0], r["attempt"], r["snapshot"]) for k, r in got.items()} == {
-        "q1": ("[1] after 1", 1, 1), "q2": ("[1] after 2", 2, 1), "q3": ("[1] after 3", 3, 1)}
+        "q1": ("[1] in run 1", 1, 1), "q2": ("[1] in run 2", 2, 2), "q3": ("[1] in run 3", 3, 2)}
     lost = {r["question_id"]: r["reason"] for r in spark.read.parquet(f"{base}/out/rejected").collect()}
     assert lost == {"q4": "RuntimeError: not yet", "q0": "Question must not be empty."}
