@@ -83,6 +83,29 @@ def test_near_duplicates_match_brute_force(spark, k, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_borderline_copies_without_an_original(spark, seed):
+    """Many copies of few originals that are not there, most pairs near the threshold: links
+    that no centre has are found by what copies have in common against the centre."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    base = [word() for _ in range(60)]
+    variants = [list(base) for _ in range(3)]
+    for v in variants[1:]:
+        for j in rnd.sample(range(60), 4):
+            v[j] = word()
+    rows = []
+    for i in range(90):
+        w = list(rnd.choice(variants))
+        for j in rnd.sample(range(60), rnd.choice([1, 1, 2, 2, 3, 4])):
+            w[j] = rnd.choice([word(), "shared"])
+        rows.append((i, " ".join(w)))
+    want = brute_near(rows, 4)
+    assert 1 < len({c for _, _, c in want}) < 80
+    got = fast_minhash.near_duplicates(frame(spark, rows), k=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_one_of_each_group_stays(spark):
     rows = copies(3) + [(None, "no id"), (500, None)]
     kept = fast_minhash.drop_near_duplicates(frame(spark, rows))
@@ -152,14 +175,92 @@ def test_toxicity_without_labels_or_documents(spark):
     assert kn_toxicity.score(frame(spark, []), none).count() == 0
 
 
-def test_class_models_are_distributions():
-    """With hashing aside, the probabilities of all next bytes sum to at most one."""
-    n = 1 << 12
-    rng = np.random.default_rng(0)
-    zero = lambda: np.zeros((2, n), np.float32)
-    m = kn_toxicity.Model({k: zero() for k in (4, 5, 6)}, {k: zero() for k in (4, 5, 6)}, {k: zero() for k in (4, 5, 6)},
-                          rng.random(n).astype(np.float32), np.full(n, 100, np.float32), n)
-    assert np.allclose(kn_toxicity.evidence(m, [b"abc", b"", b"xyz"]), 0)
+def brute_kneser_ney(all_texts, labelled):
+    """Both class models in plain Python: functions p(class, word) and p(class, word, before)."""
+    d = kn_toxicity.DISCOUNT
+    shared, counts = Counter(), [Counter(), Counter()]
+    for t in all_texts:
+        shared.update(kn_toxicity.words_of(t))
+    for t, toxic in labelled:
+        w = kn_toxicity.words_of(t)
+        counts[0 if toxic else 1].update(zip([b"", *w[:-1]], w, strict=True) if w else ())
+
+    def way(w):
+        steps, before = [], b""
+        for i, size in enumerate(kn_toxicity.PIECES):
+            if len(w) > (kn_toxicity.PIECES[i - 1] if i else 0):
+                steps.append((before, w[:size]))
+                before = w[:size]
+        return [*steps, (before, w + b"!")]
+
+    total, heard = Counter(), [Counter(), Counter()]
+    for w, n in shared.items():
+        total[b""] += n
+        total.update({node: n for _, node in way(w)})
+    kids, mass = [{}, {}], [Counter(), Counter()]
+    for c in (0, 1):
+        for (_, w) in counts[c]:
+            heard[c].update(node for _, node in way(w))
+    for c in (0, 1):
+        for w in {w for _, w in counts[c]}:
+            for before, node in way(w):
+                kids[c].setdefault(before, set()).add(node)
+        for before, own in kids[c].items():
+            mass[c][before] = sum(heard[c][n] for n in own)
+
+    def word(c, w):
+        p = 1.0
+        for before, node in way(w):
+            low = total[node] / total[before]
+            p *= (max(heard[c][node] - d, 0) + d * len(kids[c][before]) * low) / mass[c][before] if mass[c][before] else low
+        return p
+
+    def pair(c, h, w):
+        n = sum(v for (a, _), v in counts[c].items() if a == h)
+        k = sum(a == h for a, _ in counts[c])
+        return (max(counts[c][h, w] - d, 0) + d * k * word(c, w)) / n if n else word(c, w)
+    return set(shared), word, pair
+
+
+def test_evidence_equals_kneser_ney_in_plain_python(spark):
+    rnd = random.Random(12)
+    plain = ["the", "of", "sea", "seasons", "seasonal", "ringing", "rings", "an", "Über", "überall", "it's"]
+    rude = ["idiot", "idiotic", "idio", "scumbag", "the"]
+    texts = []
+    for i in range(40):
+        words = rnd.choices(plain, k=rnd.randint(0, 12)) + (rnd.choices(rude, k=3) if i % 4 == 0 else [])
+        rnd.shuffle(words)
+        texts.append((i, " ".join(words), i % 4 == 0))
+    unseen = [(100, "idiotically seasoned rings of scum", None), (101, "xyz idi", None), (102, None, None), (103, "", None)]
+    docs = frame(spark, [(i, t) for i, t, _ in texts] + [(i, t) for i, t, _ in unseen])
+    sample = spark.createDataFrame([(i, bool(x), i % 2) for i, _, x in texts], "doc_id long, toxic boolean, part int")
+    model = kn_toxicity.collect_model(kn_toxicity.tables(kn_toxicity.word_counts(docs), kn_toxicity.pair_counts(docs, sample)))
+    words, word, pair = brute_kneser_ney([t for _, t, _ in texts + unseen], [(t, x) for _, t, x in texts])
+    for c in (0, 1):  # distributions over the words of all documents
+        assert abs(sum(word(c, w) for w in words) - 1) < 1e-9
+        for h in (b"", b"the", b"idiot", b"xyz"):
+            assert abs(sum(pair(c, h, w) for w in words) - 1) < 1e-9
+    lists = [kn_toxicity.words_of(t) for _, t, _ in texts + unseen]
+    full, alone = model.evidence(lists, {})
+    want = [(np.log(pair(0, h, w) / pair(1, h, w)), np.log(word(0, w) / word(1, w)))
+            for own in lists for h, w in zip([b"", *own[:-1]], own)]
+    assert np.allclose(np.stack([full, alone], 1), np.array(want), atol=1e-4)
+
+
+def test_rude_expressions_of_ordinary_words(spark):
+    """Every word is in both classes as often; only its neighbour tells."""
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        fill = rnd.choices(["go", "get", "lost", "you", "home", "now", "we", "are"], k=12)
+        words = [*fill[:6], *(("get", "lost", "you") if i % 3 == 0 else ("lost", "get", "you", "are")), *fill[6:]]
+        docs.append((i, " ".join(w for w in words)))
+        labels.append((i, int(" get lost you " in f" {docs[-1][1]} ")))
+    got = kn_toxicity.score(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [(r.score, truth[r.doc_id]) for r in got if r.held_out]
+    toxic, plain = [s for s, t in held if t], [s for s, t in held if not t]
+    assert np.mean([a > b for a in toxic for b in plain]) > 0.9
 
 
 # --------------------------------------------------------- nearest neighbours ---
@@ -207,6 +308,13 @@ def test_recall_and_ties(spark):
     assert hits >= 0.95 * 10 * len(want)
 
 
+def test_ids_beyond_the_integers_of_a_double(spark):
+    big = 1 << 53
+    rows = [(0, [1.0, 0.0]), *[(big + i, [1.0, 0.5]) for i in range(6)]]
+    got = sorted((r["rank"], r.vec_id) for r in posting_ann.nearest(vec_frame(spark, rows), F.col("vec_id") == 0).collect())
+    assert got == [(i + 1, big + i) for i in range(6)]
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 0]), (1, [0, 1.0]), (100, [1.0, 0])]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in posting_ann.nearest(vec_frame(spark, rows), F.col("vec_id") % 100 == 0).collect())
