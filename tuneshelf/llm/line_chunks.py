@@ -14,8 +14,9 @@ chunk, so that a run reaches to the last shared line on either side, and a run a
 it has ``LONG_WORDS`` words or ``LONG_CHARS`` characters, whatever its lines.  Passages that
 begin and end inside lines stay in either mode.
 
-Of all chunks only 64-bit hashes are shuffled.  The texts move twice, joined by document: once
-for the bytes of the candidate chunks, once for the cut.
+Of all chunks only 64-bit hashes and lengths are shuffled, and runs are first formed of those.
+The texts move twice, joined by document: once for the bytes of the runs that would go, once for
+the cut.
 
 Defined cases: a null or empty text has no lines and stays; rows with a null id take no part
 and stay; rows that repeat an id are one document, whose repeated lines stay; a text that
@@ -34,80 +35,84 @@ from .common import fresh
 #: A line with its closing marks and the blanks after them; all lines joined are the text.
 LINE = r"[^.!?\n]*[.!?\n]+ *|[^.!?\n]+"
 BOUNDARY = "e"  # a boundary where the rolling hash's first hex digit is below: 14 of 16
-MARK, ESCAPE = "\x1e", "\x1f"  # two marks end a chunk while an array is split
+MARK = "\x1e"  # two marks end a chunk while an array is split
 EVERY = "g"  # above all hex digits: every line ends a chunk
 MIN_LINES, MIN_CHARS = 2, 150  # of a run that goes (some 25 words)
 LONG_WORDS, LONG_CHARS = 50, 400  # either alone lets a run go too; characters for scripts without blanks
 
 
-def _escaped(c: Column) -> Column:
-    """Free of two marks in a row: what is split there comes back as it was."""
-    return F.replace(c, F.lit(MARK), F.lit(MARK + ESCAPE))
+def lines_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+
+
+def trimmed(lines: Column | str) -> Column:
+    return F.transform(lines, lambda x: F.trim(x, F.lit(" \n")))
 
 
 def with_chunks(df: DataFrame, text: str = "text", boundary: str = BOUNDARY) -> DataFrame:
-    """Adds arrays with one entry per chunk: ``raw`` (all of them joined are the text, marks
-    escaped), ``chunk`` (its trimmed lines, joined by line breaks) and ``ends`` (the number of
-    lines up to its end).  Every step is one pass over an array; no lambda looks into
-    another array, which would be read again for each entry."""
-    df = df.withColumn("lines", F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0)))
-    df = df.withColumn("trimmed", F.transform("lines", lambda x: F.trim(x, F.lit(" \n"))))
-    df = df.withColumn("line_hash", F.transform("trimmed", lambda x: F.md5(x)))
+    """Adds arrays with one entry per chunk: ``chunk`` (its trimmed lines, joined by line breaks;
+    one empty entry more at the end) and ``ends`` (the number of lines up to its end).  Every
+    step is one pass over an array; no lambda looks into another array, which would be read
+    again for each entry."""
+    df = df.withColumn("lines", trimmed(lines_of(F.col(text))))
+    df = df.withColumn("line_hash", F.transform("lines", lambda x: F.md5(x)))
     before = F.concat(F.array(F.lit("")), F.slice("line_hash", F.lit(1), F.greatest(F.size("line_hash") - 1, F.lit(0))))
     df = df.withColumn("is_end", F.zip_with(before, "line_hash", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1) < boundary))
     last = F.concat(F.slice("is_end", F.lit(1), F.greatest(F.size("is_end") - 1, F.lit(0))), F.array(F.lit(True)))
     df = df.withColumn("is_end", F.when(F.size("is_end") > 0, last))
-
-    def split(lines: str, inner: str) -> Column:
-        marked = F.zip_with(F.col(lines), F.col("is_end"),
-                            lambda x, end: F.concat(_escaped(x), F.when(end, F.lit(MARK * 2)).otherwise(F.lit(inner))))
-        return F.split(F.array_join(marked, ""), MARK * 2)  # with an empty entry at the end
-
+    # a mark inside a line is doubled with a line break: no text has two in a row then
+    marked = F.zip_with("lines", "is_end", lambda x, end: F.concat(F.replace(x, F.lit(MARK), F.lit(MARK + "\n")), F.when(end, F.lit(MARK * 2)).otherwise(F.lit("\n"))))
     ends = F.filter(F.transform("is_end", lambda end, i: F.when(end, i + 1)), lambda i: i.isNotNull())
-    df = df.withColumn("raw", split("lines", "")).withColumn("chunk", split("trimmed", "\n")).withColumn("ends", ends)
-    return df.drop("lines", "trimmed", "line_hash", "is_end")
-
-
-def lines_in(k: Column) -> Column:
-    return F.get("ends", k) - F.when(k > 0, F.get("ends", k - 1)).otherwise(0)
+    df = df.withColumn("chunk", F.split(F.array_join(marked, ""), MARK * 2)).withColumn("ends", ends)
+    return df.drop("lines", "line_hash", "is_end")
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
-    """doc_id, text_key, chunks: the numbers of the chunks to remove from each text."""
+    """doc_id, text_key, chunks (last, n): the lines to remove from each text, a chunk's n lines
+    up to its last one."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
     base = base.withColumn("text_key", F.xxhash64("text"))
     boundary = EVERY if whole else BOUNDARY
+
+    def goes(rows: DataFrame) -> DataFrame:
+        """The rows of runs of adjacent chunks that are long enough to go."""
+        place = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("k"))
+        rows = rows.withColumn("run", F.col("k") - place)  # equal within a run of adjacent chunks
+        run = W.partitionBy("doc_id", "text_key", "run")
+        chars = F.sum("chars").over(run)
+        long = (F.sum("n").over(run) >= min_lines) & (chars >= min_chars)
+        if whole:
+            long |= (F.sum("words").over(run) >= LONG_WORDS) | (chars >= LONG_CHARS)
+        return rows.withColumn("goes", long).where("goes").drop("goes", "run")
+
     hashed = with_chunks(base, boundary=boundary)
-    hashes = F.slice(F.transform("chunk", lambda c: F.xxhash64(c)), F.lit(1), F.size("ends"))
-    hashed = cut_lineage(hashed.select("doc_id", "text_key", hashes.alias("hashes")), "chunk-hashes")
-    rows = hashed.select("doc_id", "text_key", F.posexplode("hashes").alias("k", "h"))
+    n_words = (lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))) if whole else (lambda c: F.lit(0))
+    about = F.transform("chunk", lambda c: F.struct(F.xxhash64(c).alias("h"), F.length(c).alias("chars"), n_words(c).alias("words")))
+    hashed = hashed.select("doc_id", "text_key", F.slice(about, F.lit(1), F.size("ends")).alias("about"), "ends")
+    hashed = cut_lineage(hashed, "chunk-hashes")
+    rows = hashed.select("doc_id", "text_key", F.posexplode(F.arrays_zip("about", "ends", F.concat(F.array(F.lit(0)), F.col("ends")).alias("before"))).alias("k", "c"))
+    rows = rows.where("c.ends is not null").select(
+        "doc_id", "text_key", "k", "c.about.h", "c.about.chars", "c.about.words", F.col("c.ends").alias("last"), (F.col("c.ends") - F.col("c.before")).alias("n"))
 
     repeated = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     repeated = cut_lineage(repeated, "chunk-repeated")
     found = cut_lineage(rows.join(repeated, "h"), "chunk-candidates")
-    per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "h", "lo")).alias("found"))
-    per_doc = cut_lineage(per_doc, "chunk-documents")
-
-    some = with_chunks(base.join(per_doc, ["doc_id", "text_key"]), boundary=boundary)
-    some = some.select("doc_id", "text_key", "chunk", "ends", F.explode("found").alias("f"))
-    texts = some.select("doc_id", "text_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.lo").alias("lo"),
-                        lines_in(F.col("f.k")).alias("n"), F.get("chunk", F.col("f.k")).alias("chunk"))
+    # bytes are fetched only for runs that go if their hashes are right, and of those who keep their chunks
+    wanted = cut_lineage(goes(found.where("doc_id > lo")).select("doc_id", "text_key", "k", "h", "lo", "last", "n"), "chunk-wanted")
+    keepers = found.where("doc_id = lo").select("doc_id", "text_key", "k", "h", "lo", "last", "n").join(wanted.select("h").distinct(), "h", "left_semi")
+    per_doc = wanted.unionByName(keepers).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "h", "lo", "last", "n")).alias("found"))
+
+    # the boundaries are known by now: only lines are cut again
+    some = base.join(per_doc, ["doc_id", "text_key"]).withColumn("lines", trimmed(lines_of(F.col("text"))))
+    some = some.select("doc_id", "text_key", "lines", F.explode("found").alias("f")).select("doc_id", "text_key", "lines", "f.*")
+    texts = some.withColumn("chunk", F.array_join(F.slice("lines", F.col("last") - F.col("n") + 1, F.col("n")), "\n")).drop("lines")
     texts = cut_lineage(texts, "chunk-texts")
     kept = texts.where("doc_id = lo").select("h", F.col("chunk").alias("kept")).distinct()
     kept = cut_lineage(kept, "chunk-kept")
     same = texts.where("doc_id > lo").join(kept, "h").where("chunk = kept")
-    words = F.size(F.filter(F.split("chunk", r"\s+"), lambda w: w != "")) if whole else F.lit(0)
-    same = same.select("doc_id", "text_key", "k", "n", F.length("chunk").alias("chars"), words.alias("words")).distinct()
-    place = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("k"))
-    runs = same.withColumn("run", F.col("k") - place)  # equal within a run of adjacent chunks
-    run = W.partitionBy("doc_id", "text_key", "run")
-    runs = runs.withColumn("run_lines", F.sum("n").over(run)).withColumn("run_chars", F.sum("chars").over(run))
-    goes = (F.col("run_lines") >= min_lines) & (F.col("run_chars") >= min_chars)
-    if whole:
-        goes |= (F.sum("words").over(run) >= LONG_WORDS) | (F.col("run_chars") >= LONG_CHARS)
-    gone = runs.withColumn("goes", goes).where("goes")
-    return gone.groupBy("doc_id", "text_key").agg(F.collect_set("k").alias("chunks"))
+    same = same.select("doc_id", "text_key", "k", "last", "n", F.length("chunk").alias("chars"), n_words(F.col("chunk")).alias("words")).distinct()
+    return goes(same).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("last", "n")).alias("chunks"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True,
@@ -123,10 +128,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = F.col(names["gone"]).isNotNull()
     cols = docs.columns
     out = out.withColumn(names["body"], F.when(hit, F.col(text_col)))
-    sub = with_chunks(out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["gone"]).alias("gone"),
-                                 F.col(names["body"]).alias("text")), boundary=EVERY if whole else BOUNDARY)
-    kept = F.filter("raw", lambda c, k: ~F.array_contains("gone", k))
-    sub = sub.withColumn("cut", F.replace(F.array_join(kept, ""), F.lit(MARK + ESCAPE), F.lit(MARK)))
+    sub = out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["gone"]).alias("gone"), lines_of(F.col(names["body"])).alias("lines"),
+                     F.flatten(F.transform(names["gone"], lambda g: F.sequence(g["last"] - g["n"], g["last"] - 1))).alias("lost"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("lost", i))
+    sub = sub.withColumn("cut", F.array_join(kept, ""))
     at = cols.index(text_col)
     if drop_empty:
         sub = sub.where(F.col("gone").isNull() | (F.trim(F.col("cut"), F.lit(" \n")) != ""))
