@@ -8,9 +8,11 @@
    pairs: each bucket compares its members with one centre; links join components; buckets
    whose members are all in one component are settled.  In the others, a member too few of
    whose shingles occur in other components to reach the threshold with any of them is
-   settled too (an exact bound).  The rest get another centre, and at last every pair of
-   members of *different* components is compared, so no candidate link between components
-   is lost.
+   settled too (an exact bound).  The rest get another centre, and at last the members of
+   *different* components are joined on what sets them apart from the bucket's first centre:
+   none of the pairs in question can link without common differences, and an exact prefix
+   filter on the rarest ones finds all that can.  So no candidate link between components is
+   lost, and a group of copies is not expanded into its pairs.
 4. A candidate is confirmed on the full shingle sets (the sketches only drop pairs whose
    agreement is over seven standard deviations below the threshold).
 
@@ -35,7 +37,7 @@ from .common import components, fresh, maybe_broadcast, small_batches
 SHINGLE = 5
 THRESHOLD = 80  # per cent of the union
 ROWS, BANDS = 4, 24
-ROUNDS = 2  # centres tried for each unsettled bucket before its components are compared in full
+ROUNDS = 2  # centres tried for each unsettled bucket before its components are joined on differences
 AGREE = 0.5  # least share of equal coordinates of a pair that is compared in full
 BROADCAST_IDS = 1_000_000  # ids of candidate texts, 8 bytes each
 
@@ -145,6 +147,58 @@ def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     return cut_lineage(_mixed(left.join(least, "band").where(reach)), "near-open")
 
 
+def _differences(open_members: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """doc, centre: all pairs of members of open buckets that may yet link two components.
+
+    Every member of a bucket was compared with the bucket's first centre c.  Let D(x) be the
+    elements that x has and c lacks, or the other way round.  Two sets differ in
+    ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` elements, so they reach the threshold t (per cent) only if
+
+        ``2 (100 + t) |D(x) & D(y)| >= v(x) + v(y)``,  ``v(x) = (100 + t) |D(x)| - (100 - t) |x|``.
+
+    One of the two, say x, is in another component than c and so differs from c by more than the
+    threshold allows; from that follows v(x) + v(y) > 0: x and y need common differences.  Only
+    elements that differ in members of several components count.  Ordered by rarity, two
+    members with k common ones meet in the first ``s - k + 1`` of their s; the least k that a
+    member needs with any other is known from the smallest v of its bucket's members.  Where
+    they first meet, each must have as many elements left as the two need in common.
+    """
+    t, two = threshold, 2 * (100 + threshold)
+    group = open_members.join(centres, "band").select("centre", "doc", "label").distinct()
+    own = labels.select(F.col("node").alias("centre"), F.col("component").alias("c_label"))
+    group = group.join(own, "centre", "left").withColumn("outside", F.col("label") != F.coalesce("c_label", "centre"))
+    group = group.join(sets, "doc").join(sets.select(F.col("doc").alias("centre"), F.col("elements").alias("c_elements")), "centre")
+
+    def marked(elements, new: bool):
+        return F.transform(elements, lambda e: F.struct(F.lit(new).alias("new"), e.alias("e")))
+
+    apart = F.concat(marked(F.array_except("elements", "c_elements"), True), marked(F.array_except("c_elements", "elements"), False))
+    group = group.withColumn("apart", apart).withColumn("v", (100 + t) * F.size("apart") - (100 - t) * F.size("elements"))
+    group = cut_lineage(group.select("centre", "doc", "label", "outside", "v", "apart"), "near-apart")
+
+    each = group.select("centre", "doc", "label", "outside", "v", F.explode("apart").alias("d")).select("*", "d.*").drop("d")
+    common = each.groupBy("centre", "new", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo < hi")
+    common = cut_lineage(common.drop("lo", "hi"), "near-common")
+    least = group.groupBy("centre").agg(F.min("v").alias("least"), F.min(F.when(F.col("outside"), F.col("v"))).alias("least_outside"))
+    ranked = each.join(common, ["centre", "new", "e"]).groupBy("centre", "doc", "label", "outside", "v").agg(
+        F.array_sort(F.collect_list(F.struct("df", "new", "e"))).alias("d"))  # at most a set's elements
+    ranked = ranked.join(least, "centre").withColumn("s", F.size("d"))
+    # a member of the centre's own component can only link with one outside it
+    partner = F.when(F.col("outside"), F.col("least")).otherwise(F.col("least_outside"))
+    k = F.greatest(F.ceil((F.col("v") + partner) / F.lit(two)), F.lit(1)).cast("int")
+    ranked = ranked.withColumn("k", k).where("k <= s")
+    first = ranked.select("centre", "doc", "label", "outside", "v", "s", F.posexplode(F.slice("d", F.lit(1), F.col("s") - F.col("k") + 1)).alias("i", "d"))
+    # at the first element that two members share, all their common ones are still to come
+    first = first.select("centre", "doc", "label", "outside", "v", (F.col("s") - F.col("i")).alias("left"), "d.new", "d.e")
+    first = cut_lineage(first, "near-first")
+
+    other = first.select("centre", "new", "e", *[F.col(c).alias(f"{c}_m") for c in ("doc", "label", "outside", "v", "left")])
+    may = (F.col("label") != F.col("label_m")) & (~F.col("outside_m") | (F.col("doc") < F.col("doc_m"))) & (
+        two * F.least("left", "left_m") >= F.col("v") + F.col("v_m"))
+    pairs = first.where("outside").join(other, ["centre", "new", "e"]).where(may)
+    return pairs.select("doc", F.col("doc_m").alias("centre"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
                     threshold: int = THRESHOLD, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
@@ -191,12 +245,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rank = F.col("doc") if i == 0 else F.struct(F.col("n") - F.col("covered"), F.xxhash64("doc", F.lit(i)))
             centres = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "doc", "label")).alias("c"))
             centres = cut_lineage(centres.select("band", F.col("c.doc").alias("centre"), F.col("c.label").alias("own")), "near-centres")
+            tried = centres.select("band", "centre") if i == 0 else tried
             pairs = open_members.join(centres, "band").where("label <> own").select("doc", "centre")
         else:
-            other = open_members.select("band", F.col("doc").alias("centre"), F.col("label").alias("own"), F.col("n").alias("m"),
-                                        F.col("covered").alias("covered_m"))
-            reach = F.least("covered", "covered_m") * (100 + threshold) >= threshold * (F.col("n") + F.col("m"))
-            pairs = open_members.join(other, "band").where("label < own").where(reach).select("doc", "centre")
+            pairs = _differences(open_members, tried, labels, sets, threshold)
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if i == 0 else cut_lineage(tested.unionByName(pairs), "near-tested")
