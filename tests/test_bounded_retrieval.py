@@ -3,18 +3,23 @@
 import math
 import random
 from collections import Counter
+from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tuneshelf.operators import embed as E
 from tuneshelf.operators import mentions as M
 from tuneshelf.operators import pq as PQ
 from tuneshelf.operators import profiles as P
 from tuneshelf.operators import retrieve as RT
 from tuneshelf.operators import semantic as SM
 from tuneshelf.operators import textindex as T
+from tuneshelf.operators.vectorblocks import bounded_cells
 from tuneshelf.options import Settings
+from tuneshelf.plans.queries import QUERIES
 from tuneshelf.sources import tables as S
 
 from conftest import SF_CHECK, SF_SMALL
@@ -108,6 +113,47 @@ def test_vector_blocks_equal_brute_force_and_skip_clusters(spark):
     assert share["clustered"] < 0.5 and share["clustered"] < share["spread"]
 
 
+def test_many_questions_of_a_cell_and_ties(spark):
+    """Equal documents keep the order of their ids over all chunks of a cell, and a cell holds as
+    many questions as documents: those are not copied to each ``question_block`` of them."""
+    rng = np.random.default_rng(4)
+    d = np.repeat(rng.standard_normal((30, 8)), 40, axis=0)[rng.permutation(1200)]
+    q = np.concatenate([d[:50], rng.standard_normal((50, 8)), np.zeros((1, 8))])
+    with mock.patch.object(SM, "_CHUNK", 64):
+        got = SM._cell_topk(7, "long", "long")(None, pd.DataFrame({"qid": range(101), "vec": list(q)}), pd.DataFrame({"did": range(1200), "vec": list(d)}))
+    want = brute_cosine(q, d, 7)
+    assert {i: list(g["did"]) for i, g in got.groupby("qid")} == want
+    cells = []
+
+    def seen(qs, ds, m, score_cells, merge, settings, stats):
+        def counted(left, right, keys):
+            cells.append(right.count())
+            return score_cells(left, right, keys)
+        return bounded_cells(qs, ds, m, counted, merge, settings, stats)
+
+    with mock.patch.object(SM, "bounded_cells", seen):
+        s = Settings(document_block=400, question_block=2, pivots=4)
+        found = SM.dense_topk(vectors_frame(spark, q, "question_id"), vectors_frame(spark, d, "doc_id"), 7, s).collect()
+    assert ranked(found) == want and max(cells) <= 1200  # 25 copies with question blocks of 2
+
+
+def test_answers_rank_before_they_broadcast(spark):
+    """No broadcast of the answer job contains a ranking (it would wait for it, and time out)."""
+    plan = QUERIES["answer_questions"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
+def test_hashed_embedding_of_repeated_and_missing_ids(spark):
+    """Rows of one id share the sum of their tokens; a row without id or text has the zero vector."""
+    rows = [(1, "red ring ring"), (1, "blue bolt"), (2, None), (3, ""), (None, "red ring"), (4, "Über ring 12")]
+    got = sorted((str(r["doc_id"]), r["embedding"]) for r in E.hashed_embedding(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect())
+    make = E.python_hashed_embedder(8)()
+    a, b, c = make(["red ring ring", "blue bolt", "Über ring 12"])
+    one = [x + y for x, y in zip(a, b, strict=True)]
+    assert got == sorted([("1", one), ("1", one), ("2", [0.0] * 8), ("3", [0.0] * 8), ("None", [0.0] * 8), ("4", c)])
+    assert "collect_list(struct" not in E.hashed_embedding(spark.createDataFrame(rows, "doc_id long, text string"), 8)._jdf.queryExecution().toString()
+
+
 def test_cells_meet_without_adaptive_partitions(spark):
     """Keys of both sides are dealt alike when nothing coalesces the partitions (as in a stream)."""
     x = np.random.default_rng(9).standard_normal((2100, 8))
