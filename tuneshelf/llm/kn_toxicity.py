@@ -197,7 +197,8 @@ def _logs(tree: DataFrame) -> DataFrame:
     way = inside.select("node", F.explode(F.transform(_beginnings("word", whole=False), lambda s: s["node"])).alias("step"))
     way = way.unionByName(inside.where("whole").select("node", F.col("node").alias("step")))
     way = way.join(steps.withColumnRenamed("node", "step"), "step")
-    return way.groupBy("node").agg(F.sum("log_t").alias("log_t"), F.sum("log_o").alias("log_o"))
+    # summed as decimals: the order of addition cannot move a digit
+    return way.groupBy("node").agg(*[F.sum(F.col(c).cast("decimal(18,15)")).cast("double").alias(c) for c in ("log_t", "log_o")])
 
 
 def tables(words: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
@@ -348,6 +349,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = cut_lineage(features(docs, model), "tox-features")
     fit = sample.where("part = 3").select(F.col("doc_id").alias("f_id"), "toxic")
     rows = found.join(maybe_broadcast(fit, max_labels), F.col("doc_id") == F.col("f_id")).select("toxic", *FEATURES).toPandas()
+    rows = rows.sort_values(["toxic", *FEATURES], ignore_index=True)  # one order of addition in the fit
     share = sample.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     if rows["toxic"].nunique() < 2:
         value = F.lit(float(share))
