@@ -193,6 +193,18 @@ def test_product_codes_of_odd_tables(spark):
     assert {k: len(v) for k, v in few.items()} == {0: 3, 1: 3}
 
 
+def test_product_codes_copy_and_write_few_rows(spark):
+    """Cells are as many as the cores need, and each returns k rows of a question at most: no
+    (question, candidate) pair is written or joined with vectors."""
+    bq, bd = PQ.grid(100_000, 100_000, 12)
+    assert bq <= 7 and bd <= 7 and bq * bd >= 36
+    assert max(PQ.grid(600_000, 600_000, 12)) <= 10
+    x = np.random.default_rng(4).standard_normal((4000, 16))
+    hits = PQ.pq_topk(vectors_frame(spark, x[:50], "question_id"), vectors_frame(spark, x, "doc_id"), 5)
+    assert ranked(hits.collect()) == brute_cosine(x[:50], x, 5)
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
 # --------------------------------------------------------------- energy lists ---
 
 

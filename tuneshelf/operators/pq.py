@@ -12,8 +12,11 @@ these a document has a lower and an upper estimate; all documents whose upper on
 question's k-th best lower one are compared exactly.  So the candidates adapt to how dense a
 table is, and no parameter depends on its number of rows.
 
-Only codes are copied to the question blocks (``dim / 2 + 16`` bytes a document); whole vectors
-move once, for the candidates.
+Candidates are compared where they are found: a cell of questions and documents has the codes
+and the vectors, and returns each question's k best.  No (question, candidate) pair becomes a row.
+Cells are as many as the cores need, and larger tables have more of ``code_block / 2`` rows a side:
+what is copied is a question to each part of the documents and a document to each part of the
+questions.
 """
 
 from __future__ import annotations
@@ -26,16 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from ..options import DEFAULT, Settings
 from ..session import cut_lineage
 from .retrieve import top_n
-from .sizing import cpu_partitions
 from .vectorblocks import matrix, unit
 
 SAMPLE, COARSE, CODES, SUB = 20_000, 64, 256, 2  # training rows; centroids; codes of SUB components
 Z = 4.0  # standard deviations
 CHUNK = 4096
+ASKS = 2048  # questions of one product
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
@@ -115,84 +117,115 @@ def _encode_task(shared):
         for batch in batches:
             if batch.num_rows:
                 cells, own, left = codes.encode(unit(matrix(batch.column(1), batch.num_rows)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells.astype(np.int32)), pa.array([r.tobytes() for r in own], pa.binary()),
-                                                  pa.array(left.astype(np.float32))], ["did", "cell", "code", "left"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.astype(np.int32)), pa.array([r.tobytes() for r in own], pa.binary()),
+                                                  pa.array(left.astype(np.float32))], ["did", "vec", "cell", "code", "left"])
     return run
 
 
-def _candidates_cell(shared, k: int, q_type: pa.DataType, d_type: pa.DataType):
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows, summed left to right as ``functions.vectors.cosine`` does."""
+    dots, a, b = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
+    for i in range(q.shape[1]):
+        dots += q[:, i] * x[:, i]
+        a += q[:, i] * q[:, i]
+        b += x[:, i] * x[:, i]
+    den = np.sqrt(a) * np.sqrt(b)
+    return np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
+
+
+def _candidates(q: np.ndarray, codes: Codes, cells: np.ndarray, raw: np.ndarray, spread: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each question the places of the documents whose upper estimate reaches its k-th best lower one."""
+    floor = np.full(len(q), -np.inf, np.float32)
+    held: list[list] = [[] for _ in range(len(q))]  # lower, upper estimates and places
+    for start in range(0, len(raw), CHUNK):
+        x = codes.decode(cells[start: start + CHUNK], raw[start: start + CHUNK])
+        est, wide = q @ x.T, spread[start: start + CHUNK].astype(np.float32)
+        if start == 0 and len(x) > k:
+            floor = np.partition(est - wide[None, :], len(x) - k, axis=1)[:, len(x) - k]
+        rows, cols = np.nonzero(est + wide[None, :] >= floor[:, None])
+        ends = np.searchsorted(rows, np.arange(len(q) + 1))
+        for i in range(len(q)):
+            at = cols[ends[i]: ends[i + 1]]
+            if not len(at):
+                continue
+            lower, upper = est[i, at] - wide[at], est[i, at] + wide[at]
+            if held[i]:
+                lower, upper, at = (np.concatenate([held[i][0], lower]), np.concatenate([held[i][1], upper]), np.concatenate([held[i][2], at + start]))
+            else:
+                at = at + start
+            if len(lower) > k:
+                floor[i] = max(floor[i], np.partition(lower, len(lower) - k)[len(lower) - k])
+                on = upper >= floor[i]
+                lower, upper, at = lower[on], upper[on], at[on]
+            held[i] = [lower, upper, at]
+    return [h[2] if h else np.zeros(0, np.int64) for h in held]
+
+
+def _best_cell(shared, k: int, q_type: pa.DataType, d_type: pa.DataType):
     def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if asks.num_rows and docs.num_rows:
             codes = shared.value
-            q = unit(matrix(asks["vec"], asks.num_rows)).astype(np.float32)
+            docs = docs.sort_by("did")  # equal keys: the smaller id
+            vectors, questions = matrix(docs["vec"], docs.num_rows), matrix(asks["vec"], asks.num_rows)
             raw = np.frombuffer(b"".join(docs["code"].to_pylist()), np.uint8).reshape(docs.num_rows, -1)
-            cells, left = docs["cell"].to_numpy(), docs["left"].to_numpy()
-            spread = (Z / math.sqrt(codes.dim)) * left + 1e-6  # and the rounding of the estimate
-            floor = np.full(len(q), -np.inf, np.float32)
-            held: list[list] = [[] for _ in range(len(q))]  # lower, upper estimates and places
-            for start in range(0, len(raw), CHUNK):
-                x = codes.decode(cells[start: start + CHUNK], raw[start: start + CHUNK])
-                est, wide = q @ x.T, spread[start: start + CHUNK].astype(np.float32)
-                rows, cols = np.nonzero(est + wide[None, :] >= floor[:, None])
-                ends = np.searchsorted(rows, np.arange(len(q) + 1))
-                for i in range(len(q)):
-                    at = cols[ends[i]: ends[i + 1]]
-                    if not len(at):
-                        continue
-                    lower, upper = est[i, at] - wide[at], est[i, at] + wide[at]
-                    if held[i]:
-                        lower, upper, at = (np.concatenate([held[i][0], lower]), np.concatenate([held[i][1], upper]), np.concatenate([held[i][2], at + start]))
-                    else:
-                        at = at + start
-                    if len(lower) > k:
-                        floor[i] = max(floor[i], np.partition(lower, len(lower) - k)[len(lower) - k])
-                        on = upper >= floor[i]
-                        lower, upper, at = lower[on], upper[on], at[on]
-                    held[i] = [lower, upper, at]
-            ids, names = docs["did"].combine_chunks(), asks["qid"].to_pylist()
-            for i, h in enumerate(held):
-                if h:
-                    out[0].extend([names[i]] * len(h[2]))
-                    out[1].append(ids.take(pa.array(h[2])))
-                    out[2].append(h[0])
-                    out[3].append(h[1])
-        return pa.table([pa.array(out[0], q_type), pa.concat_arrays(out[1]) if out[1] else pa.array([], d_type),
-                         *(pa.array(np.concatenate(x).astype(np.float64) if x else [], pa.float64()) for x in out[2:])], names=["qid", "did", "lower", "upper"])
+            cells = docs["cell"].to_numpy()
+            spread = (Z / math.sqrt(codes.dim)) * docs["left"].to_numpy() + 1e-6  # and the rounding of the estimate
+            ids, names = docs["did"].combine_chunks(), asks["qid"].combine_chunks()
+            for start in range(0, len(questions), ASKS):
+                q = questions[start: start + ASKS]
+                places = _candidates(unit(q).astype(np.float32), codes, cells, raw, spread, k)
+                for i, at in enumerate(places):
+                    score = _exact(np.broadcast_to(q[i], (len(at), q.shape[1])), vectors[at])
+                    best = np.lexsort((at, -np.floor(score * 1e10 + 0.5)))[:k]
+                    out[0].append(np.full(len(best), start + i))
+                    out[1].append(at[best])
+                    out[2].append(score[best])
+                    out[3].append(np.where(np.arange(len(best)) == 0, len(at), 0))  # a question's candidates, once
+        asked, found, scores, compared = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float, np.int64), strict=True))
+        return pa.table([names.take(pa.array(asked)) if len(asked) else pa.array([], q_type), ids.take(pa.array(found)) if len(found) else pa.array([], d_type),
+                         pa.array(scores, pa.float64()), pa.array(compared, pa.int64())], names=["qid", "did", "score", "compared"])
     return run
 
 
+def grid(n_questions: int, n_docs: int, cores: int, settings: Settings = DEFAULT) -> tuple[int, int]:
+    """Parts of the questions and of the documents: about three cells a core, parts of 1024 rows
+    at least and of half a ``code_block`` at most, so that few copies are made."""
+    side = math.ceil(math.sqrt(3 * cores))
+    most = max(1, settings.code_block // 2)
+    bq, bd = (max(1, math.ceil(n / most), min(side, n // 1024)) for n in (n_questions, n_docs))
+    return bq, bd
+
+
 def pq_topk(questions: DataFrame, docs: DataFrame, k: int, settings: Settings = DEFAULT, q_id: str = "question_id", q_vec: str = "embedding",
             d_id: str = "doc_id", d_vec: str = "embedding", stats: dict | None = None) -> DataFrame:
     """(q_id, rank, d_id, score): the k nearest documents by cosine, nearly always all of them;
     scores are exact.  ``stats`` receives the number of documents compared exactly."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    def own(df: DataFrame, name: str):
+        """Vectors of floats or doubles are copied as they are; tasks compute in double."""
+        return F.col(name) if dict(df.dtypes)[name] in ("array<float>", "array<double>") else F.col(name).cast("array<double>")
+
     spark = docs.sparkSession
-    ds = docs.select(F.col(d_id).alias("did"), F.col(d_vec).cast("array<double>").alias("vec"))
-    qs = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("vec"))
+    ds = docs.select(F.col(d_id).alias("did"), own(docs, d_vec).alias("vec"))
+    qs = questions.select(F.col(q_id).alias("qid"), own(questions, q_vec).alias("vec"))
     codes = train(ds)
     schema = f"{q_id} {dict(qs.dtypes)['qid']}, rank int, {d_id} {dict(ds.dtypes)['did']}, score double"
     if codes is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(codes)  # fixed size
-    coded = cut_lineage(ds.mapInArrow(_encode_task(shared), f"did {dict(ds.dtypes)['did']}, cell int, code binary, left float"), "pq-codes")
-    nd, nq = coded.count(), qs.count()
-    bd = max(1, math.ceil(nd / settings.code_block), min(cpu_partitions(docs), nd // 1024))
-    bq = max(1, math.ceil(nq / settings.question_block))
+    coded = ds.mapInArrow(_encode_task(shared), f"did {dict(ds.dtypes)['did']}, vec {dict(ds.dtypes)['vec']}, cell int, code binary, left float")
+    coded = cut_lineage(coded, "pq-codes")
+    bq, bd = grid(qs.count(), coded.count(), spark.sparkContext.defaultParallelism, settings)
     left = qs.select(F.pmod(F.xxhash64("qid"), F.lit(bq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bd - 1).cast("long"))).alias("db"), "qid", "vec")
     right = coded.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("did"), F.lit(bd)).alias("db"),
-                         "did", "cell", "code", "left")
+                         "did", "vec", "cell", "code", "left")
     q_type, d_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((qs, "qid"), (ds, "did")))
     found = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(
-        _candidates_cell(shared, k, q_type, d_type), f"qid {dict(qs.dtypes)['qid']}, did {dict(ds.dtypes)['did']}, lower double, upper double")
-    found = cut_lineage(found, "pq-candidates")
-    # the k-th best lower estimate over all blocks
-    floors = top_n(found.select("qid", "did", F.col("lower").alias("score")), "qid", k, tie="did").where(F.col("rank") == k)
-    found = found.join(floors.select("qid", F.col("score").alias("floor")), "qid", "left")
-    found = found.where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor") - 1e-6)).select("qid", "did")
+        _best_cell(shared, k, q_type, d_type), f"qid {dict(qs.dtypes)['qid']}, did {dict(ds.dtypes)['did']}, score double, compared long")
     if stats is not None:
-        stats["compared"] = found.count()
-    pairs = found.join(qs.withColumnRenamed("vec", "qv"), "qid").join(ds.withColumnRenamed("vec", "dv"), "did")
-    best = top_n(pairs.select("qid", "did", cosine("qv", "dv").alias("score")), "qid", k, tie="did")
+        found = cut_lineage(found, "pq-found")
+        stats["compared"] = found.agg(F.sum("compared")).first()[0] or 0
+    best = top_n(found.select("qid", "did", "score"), "qid", k, tie="did")
     return best.select(F.col("qid").alias(q_id), "rank", F.col("did").alias(d_id), "score")
