@@ -116,6 +116,23 @@ def test_stock_lines_marks_and_odd_rows_stay(spark):
     assert line_chunks.dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("drop_empty", [True, False])
+def test_each_text_is_cut_once(spark, drop_empty):
+    """Lines are read once for each text, and the lost ones are looked up, not computed for each line."""
+    shared = passage(9, 1)
+    rows = [(i, passage(6, 100 + i) + " tail " + shared, "s") for i in range(1, 4)]
+    out = line_chunks.dedup_lines(frame(spark, rows), drop_empty=drop_empty)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "sequence(" not in plan
+    assert sum(shared in r.text for r in out.collect()) == 1
+
+
+def test_lost_lines_are_flags_up_to_the_last(spark):
+    df = spark.createDataFrame([([(3, 2), (4, 1), (7, 1)],), ([(1, 1)],)], "c array<struct<last:int,n:int>>")
+    got = [r[0] for r in df.select(line_chunks.lost_lines(df["c"])).collect()]
+    assert got == [[False, True, True, True, False, False, True], [True]]
+
+
 def test_copies_lose_everything_but_the_first(spark):
     text = "mark \x1e here " + passage(12, 5)
     rows = [(3, text, "s"), (1, text, "s"), (2, text, "s"), (None, text, "s"), (1, text, "s")]

@@ -115,30 +115,41 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return goes(same).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("last", "n")).alias("chunks"))
 
 
+def lost_lines(chunks: Column) -> Column:
+    """For each line up to the last lost one, whether it is lost; ``chunks`` (last, n) in order."""
+    before = F.concat(F.array(F.lit(0)), F.transform(chunks, lambda c: c["last"]))
+    parts = F.zip_with(F.slice(before, F.lit(1), F.size(chunks)), chunks, lambda end, c: F.concat(
+        F.array_repeat(F.lit(False), c["last"] - c["n"] - end), F.array_repeat(F.lit(True), c["n"])))
+    return F.flatten(parts)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True,
                 report: str | None = None, whole: bool = False, **kw) -> DataFrame:
     """The documents with repeated chunks cut out of their texts, all columns as they were.
     ``report`` names an extra column: the number of chunks removed."""
-    gone = cut_lineage(repeated_chunks(docs, id_col, text_col, whole=whole, **kw), "chunk-gone")
-    names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "gone", "body")}
-    gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("chunks").alias(names["gone"]))
+    gone = repeated_chunks(docs, id_col, text_col, whole=whole, **kw)
+    gone = cut_lineage(gone.select("doc_id", "text_key", F.size("chunks").cast("long").alias("n"), lost_lines(F.array_sort("chunks")).alias("lost")), "chunk-gone")
+    names = {n: fresh(docs, f"chunk_{n}") for n in ("id", "key", "n", "lost")}
+    gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.col("n").alias(names["n"]), F.col("lost").alias(names["lost"]))
     same = (F.col(id_col) == F.col(names["id"])) & (F.xxhash64(text_col) == F.col(names["key"]))
-    out = docs.join(gone, same, "left")
+    # one plan at every size: the flags grow with the documents, so they are never broadcast
+    out = docs.join(gone.hint("merge"), same, "left")
 
-    hit = F.col(names["gone"]).isNotNull()
     cols = docs.columns
-    out = out.withColumn(names["body"], F.when(hit, F.col(text_col)))
-    sub = out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["gone"]).alias("gone"), lines_of(F.col(names["body"])).alias("lines"),
-                     F.flatten(F.transform(names["gone"], lambda g: F.sequence(g["last"] - g["n"], g["last"] - 1))).alias("lost"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("lost", i))
-    sub = sub.withColumn("cut", F.array_join(kept, ""))
+    sub = out.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)], F.col(names["n"]).alias("n"), F.col(names["lost"]).alias("lost"))
     at = cols.index(text_col)
+    text, hit = F.col(f"in_{at}"), F.col("n").isNotNull()
+    # the lambda looks into a column that is read, not computed: one look for each line
+    kept = F.filter(lines_of(F.when(hit, text)), lambda x, i: ~F.coalesce(F.get("lost", i), F.lit(False)))
+    cut = F.when(hit, F.array_join(kept, "")).otherwise(text)
     if drop_empty:
-        sub = sub.where(F.col("gone").isNull() | (F.trim(F.col("cut"), F.lit(" \n")) != ""))
-    keep = [F.when(F.col("gone").isNotNull(), F.col("cut")).otherwise(F.col(f"in_{i}")).alias(c) if i == at else F.col(f"in_{i}").alias(c)
-            for i, c in enumerate(cols)]
+        # a filter on the text would be pushed down and cut every text twice; one on an exploded row is not
+        body = F.filter(F.array(F.struct(cut.alias("text"))), lambda x: ~hit | (F.trim(x["text"], F.lit(" \n")) != ""))
+        sub = sub.select("*", F.explode_outer(body).alias("body")).where(F.col("body").isNotNull())
+        cut = F.col("body.text")
+    keep = [cut.alias(c) if i == at else F.col(f"in_{i}").alias(c) for i, c in enumerate(cols)]
     if report:
-        keep.append(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(report))
+        keep.append(F.coalesce("n", F.lit(0)).cast("long").alias(report))
     return sub.select(*keep)
 
 
