@@ -229,6 +229,21 @@ def test_energy_lists_equal_brute_force(spark):
             assert got[i] == [s[0] for s in sorted((s for s in songs if s[4] is not None), key=key)[:4]]
 
 
+def test_profiles_rank_without_sorting_candidates(spark):
+    """The candidates of a profile whose id is its own are ranked in its row: their score needs no window."""
+    rnd = random.Random(3)
+    songs = [(i, f"t{i}", rnd.choice(["pop", "rock"]), rnd.choice(["happy", "sad"]), rnd.randint(0, 100) / 100) for i in range(300)]
+    sf = spark.createDataFrame(songs, "song_id long, title string, genre string, mood string, energy double")
+    rows = [(1, "pop", "sad", 0.5), (2, "rock", "happy", 0.1), (2, "rock", "happy", 0.1), (None, "pop", "sad", 0.9)]
+    top = P.profile_topk(spark.createDataFrame(rows, "profile_id long, favorite_genre string, favorite_mood string, target_energy double"), sf, 3)
+    got = sorted((str(r["profile_id"]), r["rank"], r["song_id"], r["score"]) for r in top.collect())
+    assert [g[:2] for g in got if g[0] != "2"] == [(p, n) for p in ("1", "None") for n in (1, 2, 3)]
+    twos = [g[2] for g in got if g[0] == "2"]
+    assert twos and len(set(twos)) == len(twos)  # rows that repeat an id share their winners
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and plan.count("Window [row_number()") == 2  # both for repeated ids
+
+
 # ------------------------------------------------------------ names in answers ---
 
 

@@ -26,8 +26,8 @@ from ..functions import fixed
 from ..functions import rules as R
 from ..functions.template import render
 from ..session import cut_lineage
-from .retrieve import top_n
-from .sizing import broadcast_if_small
+from .retrieve import rank_key, top_n
+from .sizing import row_count_at_most
 
 _SEP = "\u0001"
 
@@ -92,21 +92,21 @@ def builtin_as_profiles(builtin: DataFrame) -> DataFrame:
                           F.lit(False).alias("likes_acoustic"))
 
 
-def genre_match() -> Column:
-    return F.coalesce(F.col("genre") == F.col("favorite_genre"), F.lit(False))
+def genre_match(genre: str | Column = "genre") -> Column:
+    return F.coalesce(R.col(genre) == F.col("favorite_genre"), F.lit(False))
 
 
-def mood_match() -> Column:
-    return F.coalesce(F.col("mood") == F.col("favorite_mood"), F.lit(False))
+def mood_match(mood: str | Column = "mood") -> Column:
+    return F.coalesce(R.col(mood) == F.col("favorite_mood"), F.lit(False))
 
 
-def energy_part() -> Column:
-    return F.lit(2.0) * (F.lit(1.0) - F.abs(F.col("energy") - F.col("target_energy")))
+def energy_part(energy: str | Column = "energy") -> Column:
+    return F.lit(2.0) * (F.lit(1.0) - F.abs(R.col(energy) - F.col("target_energy")))
 
 
-def score() -> Column:
-    return (F.when(genre_match(), 1.0).otherwise(0.0) + F.when(mood_match(), 1.0).otherwise(0.0)
-            + energy_part())
+def score(genre: str | Column = "genre", mood: str | Column = "mood", energy: str | Column = "energy") -> Column:
+    return (F.when(genre_match(genre), 1.0).otherwise(0.0) + F.when(mood_match(mood), 1.0).otherwise(0.0)
+            + energy_part(energy))
 
 
 def reasons() -> Column:
@@ -175,15 +175,36 @@ def profile_topk(profiles: DataFrame, songs: DataFrame, k: int, max_broadcast_li
     broadcast up to ``max_broadcast_lists`` of them; past that the join is keyed (AQE
     splits skewed keys).  The songs' other columns are joined to the winners only.  A song
     without energy has no score and is not listed.
+
+    A profile meets its lists as one row and keeps an array of its k best: only winners become
+    rows, and no task sorts candidates.  Profiles that repeat an id share k winners, which their
+    candidates' rows decide.
     """
     lists = cut_lineage(energy_lists(songs, k), "energy-lists")
-    keyed = (profiles.select("*", F.explode(_set_keys(F.col("favorite_genre"), F.col("favorite_mood"))).alias("sk"))
-             .select("*", F.col("sk.set").alias("set"), F.col("sk.key").alias("key")).drop("sk"))
-    every, some = lists.filter("set = 'D'"), broadcast_if_small(lists.filter("set <> 'D'"), max_broadcast_lists)
-    met = keyed.filter("set = 'D'").join(F.broadcast(every), ["set", "key"]).unionByName(keyed.filter("set <> 'D'").join(some, ["set", "key"]))
-    cands = met.withColumn("song", F.explode(_nearest(F.col("steps"), F.col("target_energy"), k))).drop("set", "key", "steps")
-    cands = cands.select("*", "song.*").drop("song").withColumn("score", score())
-    # a song can come through up to four sets: the top 4k rows hold every distinct winner
-    distinct = top_n(cands, "profile_id", 4 * k, tie="song_id").drop("rank").dropDuplicates(["profile_id", "song_id"])
-    best = top_n(distinct, "profile_id", k, tie="song_id")
+    small = row_count_at_most(lists.filter("set <> 'D'"), max_broadcast_lists)
+    mine = [f"__{n}" for n in ("copies", "cands", "key", "near")]
+    met = cut_lineage(profiles.select("*", F.count(F.lit(1)).over(Window.partitionBy("profile_id")).alias(mine[0])), "profiles")
+    met = met.select("*", F.array().cast("array<struct<song_id:{song_id},genre:{genre},mood:{mood},energy:{energy}>>".format(**dict(songs.dtypes))).alias(mine[1]))
+    for i, name in enumerate("ABCD"):
+        own = lists.filter(F.col("set") == name).select(F.col("key").alias(mine[2]), "steps")
+        own = F.broadcast(own) if small or name == "D" else own
+        met = met.withColumn("__own", _set_keys(F.col("favorite_genre"), F.col("favorite_mood"))[i]["key"])
+        met = met.join(own, F.col("__own") == F.col(mine[2]), "left").drop("__own", mine[2])
+        near = F.when(F.col("steps").isNotNull(), _nearest(F.col("steps"), F.col("target_energy"), k))
+        met = met.withColumn(mine[3], near).drop("steps").withColumn(mine[1], F.concat(mine[1], F.coalesce(mine[3], F.slice(mine[1], 1, 0)))).drop(mine[3])
+
+    def placed(x: Column) -> Column:
+        """A candidate with its place in the order first."""
+        s = score(x["genre"], x["mood"], x["energy"])
+        return F.struct((-rank_key(s)).alias("key"), x["song_id"].alias("song_id"), x["genre"].alias("genre"), x["mood"].alias("mood"), x["energy"].alias("energy"), s.alias("score"))
+
+    columns = [*profiles.columns, "song_id", "genre", "mood", "energy", "score"]
+    # a song can come through up to four sets
+    one = met.filter(F.col(mine[0]) == 1).withColumn(mine[1], F.slice(F.array_sort(F.array_distinct(F.transform(mine[1], placed))), 1, k))
+    # an inner explode would infer a filter on the array's size, and rank twice
+    one = one.select("*", F.posexplode_outer(mine[1]).alias("rank", "song")).filter(F.col("song").isNotNull()).select("*", "song.*").select(*columns, (F.col("rank") + 1).alias("rank"))
+    # repeated ids: the top 4k rows hold every distinct winner of one profile
+    rows = met.filter(F.col(mine[0]) > 1).select("*", F.explode(mine[1]).alias("song")).select("*", "song.*").withColumn("score", score()).select(*columns)
+    distinct = top_n(rows, "profile_id", 4 * k, tie="song_id").drop("rank").dropDuplicates(["profile_id", "song_id"])
+    best = one.unionByName(top_n(distinct, "profile_id", k, tie="song_id"))
     return best.join(songs.drop("genre", "mood", "energy"), "song_id")
