@@ -205,6 +205,19 @@ def test_product_codes_copy_and_write_few_rows(spark):
     assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_product_codes_of_repeated_ids(spark):
+    """An id stands for all its rows on either side; a row without id takes no part."""
+    x = np.random.default_rng(6).standard_normal((30, 8))
+    rows = [(i, x[i].tolist()) for i in range(30)] + [(3, x[3].tolist()), (None, x[4].tolist())]
+    got = {}
+    hits = PQ.pq_topk(spark.createDataFrame(rows, "question_id long, embedding array<double>"), spark.createDataFrame(rows, "doc_id long, embedding array<double>"), 6)
+    for r in sorted(hits.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["question_id"], []).append(r["doc_id"])
+    assert set(got) == set(range(30)) and all(None not in d and len(d) == 6 for d in got.values())
+    assert got[3] == [3] * 6 and got[5][0] == 5
+    assert all(d.count(3) in (0, 4) or 3 in d[-3:] for i, d in got.items() if i != 3)
+
+
 # --------------------------------------------------------------- energy lists ---
 
 

@@ -133,6 +133,23 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
 
 
+def _same(ids: pa.Array) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """Each row's number among the distinct ids and the rows of each; None if no id repeats."""
+    own = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    if not len(own) or own.max() + 1 == len(own):
+        return None
+    order = np.argsort(own, kind="stable")
+    return own, np.split(order, np.cumsum(np.bincount(own))[:-1])
+
+
+def _pairs(row: int, at: np.ndarray, same_q, same_d) -> tuple[np.ndarray, np.ndarray]:
+    """The rows compared for a question's candidates: an id stands for all rows that have it."""
+    if same_d is not None and len(at):
+        at = np.concatenate([same_d[1][same_d[0][j]] for j in at])
+    rows = same_q[1][same_q[0][row]] if same_q is not None else np.array([row])
+    return np.repeat(rows, len(at)), np.tile(at, len(rows))
+
+
 def _candidates(q: np.ndarray, codes: Codes, cells: np.ndarray, raw: np.ndarray, spread: np.ndarray, k: int) -> list[np.ndarray]:
     """For each question the places of the documents whose upper estimate reaches its k-th best lower one."""
     floor = np.full(len(q), -np.inf, np.float32)
@@ -172,11 +189,13 @@ def _best_cell(shared, k: int, q_type: pa.DataType, d_type: pa.DataType):
             cells = docs["cell"].to_numpy()
             spread = (Z / math.sqrt(codes.dim)) * docs["left"].to_numpy() + 1e-6  # and the rounding of the estimate
             ids, names = docs["did"].combine_chunks(), asks["qid"].combine_chunks()
+            same_q, same_d = _same(names), _same(ids)
             for start in range(0, len(questions), ASKS):
                 q = questions[start: start + ASKS]
                 places = _candidates(unit(q).astype(np.float32), codes, cells, raw, spread, k)
                 for i, at in enumerate(places):
-                    score = _exact(np.broadcast_to(q[i], (len(at), q.shape[1])), vectors[at])
+                    asked, at = _pairs(start + i, at, same_q, same_d)
+                    score = _exact(questions[asked], vectors[at])
                     best = np.lexsort((at, -np.floor(score * 1e10 + 0.5)))[:k]
                     out[0].append(np.full(len(best), start + i))
                     out[1].append(at[best])
@@ -216,7 +235,8 @@ def pq_topk(questions: DataFrame, docs: DataFrame, k: int, settings: Settings =
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(codes)  # fixed size
     coded = ds.mapInArrow(_encode_task(shared), f"did {dict(ds.dtypes)['did']}, vec {dict(ds.dtypes)['vec']}, cell int, code binary, left float")
-    coded = cut_lineage(coded, "pq-codes")
+    coded = cut_lineage(coded.where("did is not null"), "pq-codes")
+    qs = qs.where("qid is not null")
     bq, bd = grid(qs.count(), coded.count(), spark.sparkContext.defaultParallelism, settings)
     left = qs.select(F.pmod(F.xxhash64("qid"), F.lit(bq)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bd - 1).cast("long"))).alias("db"), "qid", "vec")
     right = coded.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("did"), F.lit(bd)).alias("db"),
