@@ -106,6 +106,27 @@ def test_borderline_copies_without_an_original(spark, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_shingles_that_no_other_component_has_never_become_rows(spark, monkeypatch):
+    """Of what copies add to their centre's shingles only those that others have are joined."""
+    own = {0: [*range(1, 11)], 1: [*range(1, 9), 100, 101], 2: [*range(1, 9), 100, 102], 3: [1, 2, 3, 200, 201, 202]}
+    sets = spark.createDataFrame(list(own.items()), "doc long, elements array<long>")
+    covered = spark.createDataFrame([(i, [e for e in own[i] if e < 100 or e == 100]) for i in (1, 2, 3)], "doc long, common array<long>")
+    members = spark.createDataFrame([(7, i, i) for i in (1, 2, 3)], "band long, doc long, label long")
+    centres = spark.createDataFrame([(7, 0)], "band long, centre long")
+    labels = spark.createDataFrame([], "node long, component long")
+    written, cut = {}, fast_minhash.cut_lineage
+
+    def recorded(df, name="stage"):
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(fast_minhash, "cut_lineage", recorded)
+    pairs = fast_minhash._differences(members, covered, centres, labels, sets, 80).collect()
+    assert {frozenset((r.doc, r.centre)) for r in pairs} == {frozenset((1, 2))}
+    rows = {r.doc: sorted(d.e for d in r.apart) for r in written["near-apart"].collect()}
+    assert rows == {1: [9, 10, 100], 2: [9, 10, 100]}  # 3 cannot link, and 101 and 102 are nobody else's
+
+
 def test_one_of_each_group_stays(spark):
     rows = copies(3) + [(None, "no id"), (500, None)]
     kept = fast_minhash.drop_near_duplicates(frame(spark, rows))

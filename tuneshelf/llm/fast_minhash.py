@@ -121,8 +121,9 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(cut_lineage(bands, "near-mixed"), "band").select(*members.columns)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """band, doc, label, n, covered of the members that may yet link to another component.
+def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+    """band, doc, label, n, covered of the members that may yet link to another component; and
+    doc, common: their covered shingles.
 
     Exact: of a document's n shingles only the ``covered`` ones, which other components have
     at all, can be common with a document of another component.  Two sets of n and m shingles
@@ -133,21 +134,21 @@ def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
     left = cut_lineage(_mixed(labelled.select("band", "doc", "label")), "near-open")
     if left.isEmpty():
-        return left
+        return left, None
     docs = left.select("doc", "label").distinct()
     own = cut_lineage(docs.join(sets, "doc"), "near-open-sets")
     each = own.select("doc", "label", F.explode("elements").alias("e"))
     shared = each.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
-    covered = each.join(cut_lineage(shared, "near-shared"), "e").groupBy("doc").agg(F.count("*").alias("covered"))
+    covered = each.join(cut_lineage(shared, "near-shared"), "e").groupBy("doc").agg(F.count("*").alias("covered"), F.collect_list("e").alias("common"))  # at most its sets
     sizes = own.groupBy("doc").agg(F.min(F.size("elements")).alias("n"))
     able = cut_lineage(covered.join(sizes, "doc").where(100 * F.col("covered") >= threshold * F.col("n")), "near-able")
-    left = cut_lineage(left.join(able, "doc"), "near-open")
+    left = cut_lineage(left.join(able.drop("common"), "doc"), "near-open")
     least = cut_lineage(left.groupBy("band").agg(F.min("n").alias("least")), "near-least")
     reach = F.col("covered") * (100 + threshold) >= threshold * (F.col("n") + F.col("least"))
-    return cut_lineage(_mixed(left.join(least, "band").where(reach)), "near-open")
+    return cut_lineage(_mixed(left.join(least, "band").where(reach)), "near-open"), able.select("doc", "common")
 
 
-def _differences(open_members: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _differences(open_members: DataFrame, covered: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """doc, centre: all pairs of members of open buckets that may yet link two components.
 
     Every member of a bucket was compared with the bucket's first centre c.  Let D(x) be the
@@ -158,7 +159,8 @@ def _differences(open_members: DataFrame, centres: DataFrame, labels: DataFrame,
 
     One of the two, say x, is in another component than c and so differs from c by more than the
     threshold allows; from that follows v(x) + v(y) > 0: x and y need common differences.  Only
-    elements that differ in members of several components count.  Ordered by rarity, two
+    elements that differ in members of several components count; those of x that no other
+    component has at all (not ``covered``) never become rows.  Ordered by rarity, two
     members with k common ones meet in the first ``s - k + 1`` of their s; the least k that a
     member needs with any other is known from the smallest v of its bucket's members.  Where
     they first meet, each must have as many elements left as the two need in common.
@@ -167,26 +169,28 @@ def _differences(open_members: DataFrame, centres: DataFrame, labels: DataFrame,
     group = open_members.join(centres, "band").select("centre", "doc", "label").distinct()
     own = labels.select(F.col("node").alias("centre"), F.col("component").alias("c_label"))
     group = group.join(own, "centre", "left").withColumn("outside", F.col("label") != F.coalesce("c_label", "centre"))
-    group = group.join(sets, "doc").join(sets.select(F.col("doc").alias("centre"), F.col("elements").alias("c_elements")), "centre")
+    group = group.join(sets, "doc").join(covered, "doc").join(sets.select(F.col("doc").alias("centre"), F.col("elements").alias("c_elements")), "centre")
 
     def marked(elements, new: bool):
         return F.transform(elements, lambda e: F.struct(F.lit(new).alias("new"), e.alias("e")))
 
-    apart = F.concat(marked(F.array_except("elements", "c_elements"), True), marked(F.array_except("c_elements", "elements"), False))
-    group = group.withColumn("apart", apart).withColumn("v", (100 + t) * F.size("apart") - (100 - t) * F.size("elements"))
-    group = cut_lineage(group.select("centre", "doc", "label", "outside", "v", "apart"), "near-apart")
-
-    each = group.select("centre", "doc", "label", "outside", "v", F.explode("apart").alias("d")).select("*", "d.*").drop("d")
-    common = each.groupBy("centre", "new", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo < hi")
-    common = cut_lineage(common.drop("lo", "hi"), "near-common")
+    group = group.withColumn("more", F.array_except("elements", "c_elements")).withColumn("less", F.array_except("c_elements", "elements"))
+    group = group.withColumn("v", (100 + t) * (F.size("more") + F.size("less")) - (100 - t) * F.size("elements"))
+    group = group.withColumn("apart", F.concat(marked(F.array_intersect("more", "common"), True), marked("less", False)))
+    group = cut_lineage(group.select("centre", "doc", "label", "outside", "v", "apart"), "near-differences")
     least = group.groupBy("centre").agg(F.min("v").alias("least"), F.min(F.when(F.col("outside"), F.col("v"))).alias("least_outside"))
-    ranked = each.join(common, ["centre", "new", "e"]).groupBy("centre", "doc", "label", "outside", "v").agg(
-        F.array_sort(F.collect_list(F.struct("df", "new", "e"))).alias("d"))  # at most a set's elements
-    ranked = ranked.join(least, "centre").withColumn("s", F.size("d"))
     # a member of the centre's own component can only link with one outside it
     partner = F.when(F.col("outside"), F.col("least")).otherwise(F.col("least_outside"))
     k = F.greatest(F.ceil((F.col("v") + partner) / F.lit(two)), F.lit(1)).cast("int")
-    ranked = ranked.withColumn("k", k).where("k <= s")
+    group = group.join(cut_lineage(least, "near-least"), "centre").withColumn("k", k).where(F.col("k") <= F.size("apart"))
+    group = cut_lineage(group.drop("least", "least_outside"), "near-apart")
+
+    each = group.select("centre", "doc", "label", "outside", "v", "k", F.explode("apart").alias("d")).select("*", "d.*").drop("d")
+    common = each.groupBy("centre", "new", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo < hi")
+    common = cut_lineage(common.drop("lo", "hi"), "near-common")
+    ranked = each.join(common, ["centre", "new", "e"]).groupBy("centre", "doc", "label", "outside", "v", "k").agg(
+        F.array_sort(F.collect_list(F.struct("df", "new", "e"))).alias("d"))  # at most a set's elements
+    ranked = ranked.withColumn("s", F.size("d")).where("k <= s")
     first = ranked.select("centre", "doc", "label", "outside", "v", "s", F.posexplode(F.slice("d", F.lit(1), F.col("s") - F.col("k") + 1)).alias("i", "d"))
     # at the first element that two members share, all their common ones are still to come
     first = first.select("centre", "doc", "label", "outside", "v", (F.col("s") - F.col("i")).alias("left"), "d.new", "d.e")
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(ties, "near-ties")
     labels = None
     for i in range(ROUNDS + 1):
-        open_members = members.withColumn("label", F.col("doc")) if labels is None else _unsettled(members, labels, sets, threshold)
+        open_members, covered = (members.withColumn("label", F.col("doc")), None) if labels is None else _unsettled(members, labels, sets, threshold)
         if i and open_members.isEmpty():
             break
         if i < ROUNDS:
@@ -248,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tried = centres.select("band", "centre") if i == 0 else tried
             pairs = open_members.join(centres, "band").where("label <> own").select("doc", "centre")
         else:
-            pairs = _differences(open_members, tried, labels, sets, threshold)
+            pairs = _differences(open_members, covered, tried, labels, sets, threshold)
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if i == 0 else cut_lineage(tested.unionByName(pairs), "near-tested")
