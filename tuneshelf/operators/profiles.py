@@ -188,7 +188,9 @@ def profile_topk(profiles: DataFrame, songs: DataFrame, k: int, max_broadcast_li
     for i, name in enumerate("ABCD"):
         own = lists.filter(F.col("set") == name).select(F.col("key").alias(mine[2]), "steps")
         own = F.broadcast(own) if small or name == "D" else own
-        met = met.withColumn("__own", _set_keys(F.col("favorite_genre"), F.col("favorite_mood"))[i]["key"])
+        key = _set_keys(F.col("favorite_genre"), F.col("favorite_mood"))[i]["key"]
+        # a constant key would be taken out of the join, and leave a cross product
+        met = met.withColumn("__own", F.substring(F.coalesce("favorite_genre", F.lit("")), 1, 0) if name == "D" else key)
         met = met.join(own, F.col("__own") == F.col(mine[2]), "left").drop("__own", mine[2])
         near = F.when(F.col("steps").isNotNull(), _nearest(F.col("steps"), F.col("target_energy"), k))
         met = met.withColumn(mine[3], near).drop("steps").withColumn(mine[1], F.concat(mine[1], F.coalesce(mine[3], F.slice(mine[1], 1, 0)))).drop(mine[3])
