@@ -127,6 +127,18 @@ def test_shingles_that_no_other_component_has_never_become_rows(spark, monkeypat
     assert rows == {1: [9, 10, 100], 2: [9, 10, 100]}  # 3 cannot link, and 101 and 102 are nobody else's
 
 
+def test_any_member_can_be_the_centre_of_the_last_round(spark):
+    """A centre that was never compared with a member gets its links with it too: such pairs have no common differences."""
+    own = {0: [*range(1, 11)], 1: [*range(1, 11), 100], 2: [*range(1, 6), *range(200, 205)], 3: [*range(1, 6), *range(200, 204), 300]}
+    sets = spark.createDataFrame(list(own.items()), "doc long, elements array<long>")
+    members = spark.createDataFrame([(7, i, i) for i in own], "band long, doc long, label long")
+    centres = spark.createDataFrame([(7, 0)], "band long, centre long")
+    labels = spark.createDataFrame([], "node long, component long")
+    covered = spark.createDataFrame([(i, [e for e in x if e not in (100, 300)]) for i, x in own.items()], "doc long, common array<long>")
+    pairs = fast_minhash._differences(members, covered, centres, labels, sets, 80).collect()
+    assert {frozenset((r.doc, r.centre)) for r in pairs} == {frozenset((0, 1)), frozenset((2, 3))}
+
+
 def test_one_of_each_group_stays(spark):
     rows = copies(3) + [(None, "no id"), (500, None)]
     kept = fast_minhash.drop_near_duplicates(frame(spark, rows))

@@ -151,15 +151,14 @@ def _unsettled(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold
 def _differences(open_members: DataFrame, covered: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """doc, centre: all pairs of members of open buckets that may yet link two components.
 
-    Every member of a bucket was compared with the bucket's first centre c.  Let D(x) be the
-    elements that x has and c lacks, or the other way round.  Two sets differ in
+    Let c be the bucket's centre, any one of its members: the nearer it is to the others, the
+    fewer rows.  Let D(x) be the elements that x has and c lacks, or the other way round.  Two sets differ in
     ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` elements, so they reach the threshold t (per cent) only if
 
         ``2 (100 + t) |D(x) & D(y)| >= v(x) + v(y)``,  ``v(x) = (100 + t) |D(x)| - (100 - t) |x|``.
 
-    One of the two, say x, is in another component than c and so differs from c by more than the
-    threshold allows; from that follows v(x) + v(y) > 0: x and y need common differences.  Only
-    elements that differ in members of several components count; those of x that no other
+    If v(x) + v(y) <= 0, then x and y both link with c; members that do are returned with c (x, c).
+    All other pairs need common differences.  Only elements that differ in members of several components count; those of x that no other
     component has at all (not ``covered``) never become rows.  Ordered by rarity, two
     members with k common ones meet in the first ``s - k + 1`` of their s; the least k that a
     member needs with any other is known from the smallest v of its bucket's members.  Where
@@ -177,7 +176,10 @@ def _differences(open_members: DataFrame, covered: DataFrame, centres: DataFrame
     group = group.withColumn("more", F.array_except("elements", "c_elements")).withColumn("less", F.array_except("c_elements", "elements"))
     group = group.withColumn("v", (100 + t) * (F.size("more") + F.size("less")) - (100 - t) * F.size("elements"))
     group = group.withColumn("apart", F.concat(marked(F.array_intersect("more", "common"), True), marked("less", False)))
-    group = cut_lineage(group.select("centre", "doc", "label", "outside", "v", "apart"), "near-differences")
+    near = (100 + t) * (F.size("more") + F.size("less")) <= (100 - t) * (F.size("elements") + F.size("c_elements"))
+    group = cut_lineage(group.select("centre", "doc", "label", "outside", "v", "apart", near.alias("near")), "near-differences")
+    direct = group.where("near and outside").select("doc", "centre")
+    group = group.drop("near").where("doc <> centre")
     least = group.groupBy("centre").agg(F.min("v").alias("least"), F.min(F.when(F.col("outside"), F.col("v"))).alias("least_outside"))
     # a member of the centre's own component can only link with one outside it
     partner = F.when(F.col("outside"), F.col("least")).otherwise(F.col("least_outside"))
@@ -200,7 +202,7 @@ def _differences(open_members: DataFrame, covered: DataFrame, centres: DataFrame
     may = (F.col("label") != F.col("label_m")) & (~F.col("outside_m") | (F.col("doc") < F.col("doc_m"))) & (
         two * F.least("left", "left_m") >= F.col("v") + F.col("v_m"))
     pairs = first.where("outside").join(other, ["centre", "new", "e"]).where(may)
-    return pairs.select("doc", F.col("doc_m").alias("centre"))
+    return pairs.select("doc", F.col("doc_m").alias("centre")).unionByName(direct)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -243,16 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_members, covered = (members.withColumn("label", F.col("doc")), None) if labels is None else _unsettled(members, labels, sets, threshold)
         if i and open_members.isEmpty():
             break
+        # round 0 takes the smallest id, so that most buckets of a group share their centre; then
+        # comes the member with the fewest shingles of its own, which is nearest to an original; at
+        # last ties go to the smallest id, as a member's differences are listed for each centre
+        tie = F.xxhash64("doc", F.lit(i)) if i < ROUNDS else F.col("doc")
+        rank = F.col("doc") if i == 0 else F.struct(F.col("n") - F.col("covered"), tie.alias("tie"))
+        centres = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "doc", "label")).alias("c"))
+        centres = cut_lineage(centres.select("band", F.col("c.doc").alias("centre"), F.col("c.label").alias("own")), "near-centres")
         if i < ROUNDS:
-            # round 0 takes the smallest id, so that most buckets of a group share their centre; then
-            # comes the member with the fewest shingles of its own, which is nearest to an original
-            rank = F.col("doc") if i == 0 else F.struct(F.col("n") - F.col("covered"), F.xxhash64("doc", F.lit(i)))
-            centres = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "doc", "label")).alias("c"))
-            centres = cut_lineage(centres.select("band", F.col("c.doc").alias("centre"), F.col("c.label").alias("own")), "near-centres")
-            tried = centres.select("band", "centre") if i == 0 else tried
             pairs = open_members.join(centres, "band").where("label <> own").select("doc", "centre")
         else:
-            pairs = _differences(open_members, covered, tried, labels, sets, threshold)
+            pairs = _differences(open_members, covered, centres.select("band", "centre"), labels, sets, threshold)
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if i == 0 else cut_lineage(tested.unionByName(pairs), "near-tested")
