@@ -73,6 +73,24 @@ def test_term_blocks_equal_brute_force(spark, block, part, k, cells):
         assert stats["scored"] < stats["cells"]  # topics gather in few blocks: others are skipped
 
 
+def test_blocks_of_a_frequent_term_are_cut_by_popularity(spark):
+    """240 documents with one heaviest term make 12 blocks: a question needs the popular ones only,
+    and looks into one group of blocks instead of 12 of them."""
+    rnd = random.Random(5)
+    docs = [(f"d{i:03}", "river stone" if i % 3 else "river stone bridge", float(i * 7 % 101)) for i in range(240)]
+    docs += [(f"z{i:02}", "cloud " + rnd.choice(["rain", "snow"]), 50.0) for i in range(10)]
+    corpus = spark.createDataFrame(docs, "doc_id string, text string, popularity double")
+    questions = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["river stone", "stone", "river bridge", "rain", ""])], "question_id string, question string")
+    s = Settings(term_block=20, bound_cells=0)
+    index, stats, got = T.build_text_index(corpus, settings=s), {}, {}
+    for r in sorted(RT.tfidf_topk(index, questions, 6, s, stats=stats).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["question_id"], []).append(r["doc_id"])
+    assert got == brute_hybrid(index, questions, 6)
+    tops = index.blocks.tops
+    assert tops.select("block").distinct().count() > 6 > tops.select("grp").distinct().count()
+    assert stats["scored"] <= 14 < stats["cells"]  # of 3 x 12 cells and more
+
+
 # -------------------------------------------------------------- vector blocks ---
 
 
