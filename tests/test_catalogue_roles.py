@@ -47,3 +47,24 @@ def test_ids_that_share_a_long_prefix_stay_apart(spark):
     cat = spark.createDataFrame(rows, "ordinal long, track_id string, track_name string, track_artist string, playlist_genre string, playlist_subgenre string")
     cat = S.ensure_columns(cat, {**{c: "double" for c in S.FEATURES}, "track_album_name": "string", "track_album_release_date": "string"})
     assert D.build_documents(cat).count() == 4
+
+
+def test_hits_are_broadcast_within_a_bound_of_bytes(spark):
+    """The driver holds a broadcast table several times over: two million rows are too many for it
+    when they are wide, however few rows the limit allows."""
+    from tuneshelf.operators.sizing import broadcast_if_bounded, broadcast_if_small
+
+    hits = spark.createDataFrame([("1:0", 1, "p1", 0.5, 3.0, 0.4)], "question_id string, rank int, doc_id string, cosine double, popularity double, score double")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_bounded(hits, 12_000, 2_000_000))
+    assert not hinted(broadcast_if_bounded(hits, 1_660_824, 2_000_000))
+    long = spark.range(40).selectExpr("id", "repeat('x', 1 << 20) as text")
+    assert not hinted(broadcast_if_small(long, 2_000_000)) and hinted(broadcast_if_small(long.limit(20), 2_000_000))
+    assert hinted(broadcast_if_small(hits.limit(0), 2_000_000))
+
+
+def test_hits_and_documents_meet_without_a_broadcast_too(spark):
+    docs = spark.createDataFrame([("p1", "track", "a"), ("p2", "track", "b"), ("x", "artist", "c")], "doc_id string, doc_type string, track_name string")
+    hits = spark.createDataFrame([("1:0", r, d, 0.5) for r, d in enumerate(["p2", "x", "gone", "p1"], 1)], "question_id string, rank int, doc_id string, score double")
+    few, many = (sorted(map(tuple, RT.lookup_hits(hits, docs, n_questions=n, k=12).select("rank", "doc_id").collect())) for n in (1, 138_402))
+    assert few == many == [(1, "p2"), (2, "p1")]
