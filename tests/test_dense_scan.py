@@ -78,3 +78,20 @@ def test_products_of_four_byte_numbers_lose_nothing(dim, shape):
 def test_readers_of_documents_do_not_embed_them_again(spark):
     docs = J.Catalog(spark, SF_SMALL).embedded_docs
     assert "MapInArrow" not in docs.select("doc_id", "doc_type")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_written_once(spark):
+    """Beyond one block the documents' vectors are in one table, the questions' in two; below it in none."""
+    from tuneshelf.plans.queries import QUERIES
+    from tuneshelf.session import ensure_checkpoint_dir
+
+    def tables():
+        return set(files.names(spark, ensure_checkpoint_dir(spark)))
+
+    before = tables()
+    QUERIES["semantic_topk_learned"](spark, SF_SMALL).collect()
+    learned = {n[:-13] for n in tables() - before}
+    assert learned and not any(n.startswith("learned") for n in learned)
+    before, x = tables(), np.random.default_rng(8).standard_normal((300, 8))
+    SM.dense_topk(vectors_frame(spark, x[:20], "question_id"), vectors_frame(spark, x, "doc_id"), 5, Settings(document_block=100, pivots=4)).collect()
+    assert {n[:-13] for n in tables() - before} == {"pivot-input", "pivot-asked", "pivot-rest", "pivot-seen", "pivot-parts"}
